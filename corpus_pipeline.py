@@ -1,16 +1,66 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, substring dedup, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of ``documents``, with n_chars
+counted again where the text may have changed.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldspark.llm import linededup, packing, quality, simhash, substrdedup
+from foldspark.llm.scratch import table
+
+
+def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` with the columns and types of ``docs``, n_chars being the length of its text."""
+    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(length if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents which the rules and their host's verdict accept."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that recur in three or more of them."""
+    return _as_documents(linededup.dedup_lines(docs), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without windows of 20 words that start earlier elsewhere."""
+    return _as_documents(substrdedup.dedup_substrings(docs, normalise=False), docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and offset."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: SQL has no XXH64 and no tokenizer, so the stages are held against brute force in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, one after the other."""
+    """The stages over ``documents``; what a stage keeps is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -243,7 +243,7 @@ def _repeated(length: int):
     return run
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], normalise: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, removed = [], [], []
@@ -258,7 +258,8 @@ def _cut(names: list[str]):
                         for span in x["spans"] or ():
                             keep[span["s"] : span["e"]] = False
                 kept = words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]
-                texts.append(b" ".join(kept))
+                whole = len(kept) == len(words) and not normalise
+                texts.append(b" ".join(kept) if not whole else text.as_buffer().to_pybytes() if text.is_valid else b"")
                 sizes.append(len(words))
                 removed.append(len(words) - len(kept))
             made = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
@@ -291,9 +292,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return per_text.groupBy(F.col("_ord").alias("_at")).agg(F.collect_list(lean).alias("_cuts"))
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, normalise: bool = True) -> DataFrame:
     """``docs`` with repeated windows cut; text becomes the kept words joined by one space; adds n_words, n_removed.
 
+    With ``normalise`` off, a text that loses nothing comes back as it is.
+
     Words are runs outside ``[\\x20\\x09-\\x0D]``, compared as they are.  A null
     text has no words and comes back empty.  Windows never span documents.
     Rows without a doc_id come after all others.  Rows with the same doc_id and
@@ -307,7 +310,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = docs.select(*(docs[c] for c in rest), docs["text"].cast("binary").alias("_text"), order.alias("_ord"))
     joined = joined.join(cuts, joined["_ord"] == cuts["_at"], "left").select(*rest, "_text", "_cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    out = joined.mapInArrow(_cut(rest), f"{schema}, _kept string, _size long, _gone long")
+    out = joined.mapInArrow(_cut(rest, normalise), f"{schema}, _kept string, _size long, _gone long")
     out = out.withColumnsRenamed({"_kept": "text", "_size": "n_words", "_gone": "n_removed"})
     return out.select(*[c for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
