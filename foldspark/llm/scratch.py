@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 _own: list[str] = []
 
@@ -37,3 +42,34 @@ def table(df: DataFrame, label: str) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle: what the session asks of its own shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(df: DataFrame, names: list[str]) -> Column:
+    """Columns that only travel along, as one struct called row, so that no name can clash with ours."""
+    return F.struct(*(df[c] for c in names)).alias("row")
+
+
+def with_row(df: DataFrame, **fields: DataType) -> StructType:
+    """The schema of ``df``'s row and other fields."""
+    return StructType([df.schema["row"], *(StructField(n, t) for n, t in fields.items())])
+
+
+def squeezed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a binary column compressed row by row, for texts that are about to be shuffled."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            made = [pack(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(at)]
+            columns = [*batch.columns[:at], pa.array(made, pa.binary()), *batch.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def unsqueezed(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a column that ``squeezed`` made, one at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for x in column:
+        yield unpack(x.as_buffer().to_pybytes()) if x.is_valid else None

@@ -34,12 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
-from .scratch import parts, table
+from .scratch import packed, parts, squeezed, table, unsqueezed, with_row
 
 LENGTH = 20
 ANCHOR = 6
-FREQUENT = 256
+FREQUENT = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1  # rows without a doc_id come after all others
 
@@ -139,8 +140,9 @@ def digest_of(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _words(text: pa.Scalar) -> list[bytes]:
-    return text.as_buffer().to_pybytes().split() if text.is_valid else []  # bytes.split() is [\x20\x09-\x0D]
+def tag_of(digest: bytes) -> int:
+    """A long that tells texts under one doc_id apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _list_anchors(length: int):
@@ -148,20 +150,21 @@ def _list_anchors(length: int):
         for batch in batches:
             keys, sizes, lists = [], [], []
             for text in batch.column("_text"):
-                words = _words(text)
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []  # bytes.split() is [\x20\x09-\x0D]
                 keys.append(digest_of(words))
                 sizes.append(len(words))
                 anchors = anchors_of(words, length)
                 lists.append(np.concatenate((np.unique(anchors), doubled(words, anchors, length))))  # these count twice
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
             flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64())
-            columns = [batch.column("_ord"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["_ord", "_key", "_size", "anchors"])
+            tags = pa.array([tag_of(k) for k in keys], pa.int64())
+            columns = [batch.column("_ord"), pa.array(keys, pa.binary()), tags, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["_ord", "_key", "_tag", "_size", "anchors"])
 
     return run
 
 
-_STRETCH = "route long, ord long, key binary, start int, count int, body binary"
+_STRETCH = "route long, ord long, tag long, start int, count int, body binary"
 
 
 def _stretches(length: int):
@@ -169,18 +172,18 @@ def _stretches(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted(zip(batch.column("_ord").to_pylist(), batch.column("_key").to_pylist(), range(len(batch)), strict=True))
+            orders, tags = (batch.column(c).to_pylist() for c in ("_ord", "_tag"))
+            texts, found = batch.column("_text"), batch.column("_found")
             seen: set[bytes] = set()
             out: list[tuple] = []
             done = None
-            for order, key, at in rows:
-                words = _words(batch.column("_text")[at])
-                if (order, key) == done or digest_of(words) != key:
+            for order, tag, at in sorted(zip(orders, tags, range(len(batch)), strict=True)):
+                words = (next(unsqueezed(texts.slice(at, 1))) or b"").split()
+                if (order, tag) == done or tag_of(digest_of(words)) != tag:
                     continue  # a repeated row, or another text under the same doc_id
-                done = (order, key)
+                done = (order, tag)
                 anchor = anchors_of(words, length)
-                found = batch.column("_found")[at].as_py()
-                frequent = {x["anchor"]: x["frequent"] for x in found}
+                frequent = {x["anchor"]: x["frequent"] for x in found[at].as_py()}
                 edge = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)])).tolist()
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     value = int(anchor[a])
@@ -190,13 +193,13 @@ def _stretches(length: int):
                         body = b" ".join(words[s : e + length - 1])
                         print_ = xxhash.xxh3_128_digest(body)
                         if print_ in seen:
-                            out.append((value, order, key, s, e - s, None))
+                            out.append((value, order, tag, s, e - s, None))
                         else:
                             seen.add(print_)
                             route = xxhash.xxh3_64_intdigest(body) >> 1 if frequent[value] else value
-                            out.append((route, order, key, s, e - s, body))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            names = ["route", "ord", "key", "start", "count", "body"]
+                            out.append((route, order, tag, s, e - s, body))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            names = ["route", "ord", "tag", "start", "count", "body"]
             columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
@@ -204,92 +207,84 @@ def _stretches(length: int):
 
 
 def _repeated(length: int):
-    """Stretches sorted by (route, ord, key, start) to spans (key, first word, end) that are to go."""
+    """Stretches sorted by (route, ord, tag, start) to spans (ord, tag, first word, end) that are to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route, automaton, before = None, None, None
         for batch in batches:
-            keys, starts, ends = [], [], []
-
-            def gone(key: bytes, start: int, end: int) -> None:
-                keys.append(key)
-                starts.append(start)
-                ends.append(end)
-
-            columns = [batch.column(c).to_pylist() for c in ("route", "ord", "key", "start", "count", "body")]
-            for to, order, key, start, count, body in zip(*columns, strict=True):
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("route", "ord", "tag", "start", "count", "body")]
+            for to, order, tag, start, count, body in zip(*columns, strict=True):
                 if body is None:
-                    gone(key, start, start + count + length - 1)
+                    out.append((order, tag, start, start + count + length - 1))
                     continue
                 if to != route:
                     route, automaton, before = to, SuffixAutomaton(), None
-                if (order, key, start) == before:
+                if (order, tag, start) == before:
                     continue  # the same stretch of a repeated row
-                before = (order, key, start)
+                before = (order, tag, start)
                 automaton.start()
                 add, first = automaton.add, None
                 for n, word in enumerate(body.split()):
                     if add(word) >= length:
                         first = n if first is None else first
                     elif first is not None:
-                        gone(key, start + first - length + 1, start + n)
+                        out.append((order, tag, start + first - length + 1, start + n))
                         first = None
                 if first is not None:
-                    gone(key, start + first - length + 1, start + count + length - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["key", "s", "e"]
-            )
+                    out.append((order, tag, start + first - length + 1, start + count + length - 1))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["ord", "tag", "s", "e"])
 
     return run
 
 
-def _cut(names: list[str], normalise: bool):
+def _cut(normalise: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, removed = [], [], []
-            for text, cuts in zip(batch.column("_text"), batch.column("_cuts"), strict=True):
-                words = _words(text)
+            for raw, cuts in zip(unsqueezed(batch.column("_text")), batch.column("_cuts"), strict=True):
+                words = (raw or b"").split()
                 keep = np.ones(len(words), bool)
                 own = None
                 for x in cuts.as_py() or ():
-                    own = own or digest_of(words)
-                    if x["key"] == own:
+                    own = tag_of(digest_of(words)) if own is None else own
+                    if x["tag"] == own:
                         keep[:] &= not x["all"]
                         for span in x["spans"] or ():
                             keep[span["s"] : span["e"]] = False
-                kept = words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]
-                whole = len(kept) == len(words) and not normalise
-                texts.append(b" ".join(kept) if not whole else text.as_buffer().to_pybytes() if text.is_valid else b"")
+                whole = keep.all()
+                kept = words if whole else [words[i] for i in np.flatnonzero(keep).tolist()]
+                texts.append((raw or b"") if whole and not normalise else b" ".join(kept))
                 sizes.append(len(words))
                 removed.append(len(words) - len(kept))
             made = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "_kept", "_size", "_gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], ["row", "text", "n_words", "n_removed"])
 
     return run
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(ord, cuts): what each document loses.  ``docs(_ord, _text)``, the text as binary."""
-    spark, n = docs.sparkSession, parts(docs.sparkSession)
-    kind = "_ord long, _key binary, _size long, anchors array<long>"
+    """(_at, _cuts): what each document loses.  ``docs(_ord, _text)``, the text as binary."""
+    n = parts(docs.sparkSession)
+    kind = "_ord long, _key binary, _tag long, _size long, anchors array<long>"
     listed = table(docs.mapInArrow(_list_anchors(length), kind), "anchors")
-    firsts = table(listed.where(F.col("_size") >= length).groupBy("_key").agg(F.min("_ord").alias("first")), "first-copies")
-    entries = listed.select("_key", F.explode("anchors").alias("anchor"))
+    long = listed.where(F.col("_size") >= length)
+    firsts = table(long.groupBy("_key").agg(F.min("_ord").alias("first"), F.min("_tag").alias("_tag")), "first-copies")
+    entries = listed.select("_ord", F.explode("anchors").alias("anchor"))
     counted = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > FREQUENT).alias("frequent"))
-    own = entries.join(counted, "anchor").groupBy("_key").agg(F.collect_set(F.struct("anchor", "frequent")).alias("_found"))
-    found = own.join(firsts, "_key").select(F.col("first").alias("_at"), "_key", "_found")
-    texts = docs.join(found, docs["_ord"] == found["_at"]).select("_ord", "_key", "_found", "_text")
-    stretches = texts.mapInArrow(_stretches(length), _STRETCH)
-    dealt = stretches.repartition(n, "route").sortWithinPartitions("route", "ord", "key", "start")
-    cuts = dealt.mapInArrow(_repeated(length), "key binary, s int, e int")
-    cuts = cuts.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    copies = listed.where(F.col("_size") >= length).select("_ord", "_key").distinct().join(firsts, "_key")
-    per_text = copies.join(cuts, copies["_key"] == cuts["key"], "left").select(
-        "_ord", copies["_key"].alias("key"), (F.col("_ord") > F.col("first")).alias("all"), "spans"
-    )
-    per_text = per_text.where("all or spans is not null")
-    lean = F.struct("key", "all", F.when(~F.col("all"), F.col("spans")).alias("spans"))
-    return per_text.groupBy(F.col("_ord").alias("_at")).agg(F.collect_list(lean).alias("_cuts"))
+    own = entries.join(counted, "anchor").groupBy("_ord").agg(F.collect_set(F.struct("anchor", "frequent")).alias("_found"))
+    found = own.join(firsts, own["_ord"] == firsts["first"]).select(F.col("first").alias("_at"), "_tag", "_found")
+    lean = squeezed(docs.where("_text is not null").select("_ord", "_text"), "_text")
+    texts = lean.join(found, lean["_ord"] == found["_at"]).select("_ord", "_tag", "_found", "_text")
+    dealt = texts.mapInArrow(_stretches(length), _STRETCH).repartition(n, "route").sortWithinPartitions("route", "ord", "tag", "start")
+    cuts = dealt.mapInArrow(_repeated(length), "ord long, tag long, s int, e int")
+    cuts = cuts.groupBy("ord", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    later = long.select("_ord", "_key").distinct().join(firsts, "_key").where(F.col("_ord") > F.col("first"))
+    whole = later.select(F.col("_ord").alias("ord"), F.col("_tag").alias("tag"), F.lit(True).alias("all"))
+    per_text = whole.unionByName(cuts.withColumn("all", F.lit(False)), allowMissingColumns=True)
+    return per_text.groupBy(F.col("ord").alias("_at")).agg(F.collect_list(F.struct("tag", "all", "spans")).alias("_cuts"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, normalise: bool = True) -> DataFrame:
@@ -307,12 +302,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, normalise: bool = Tr
     order = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
     cuts = spans(docs.select(order.alias("_ord"), docs["text"].cast("binary").alias("_text")), length)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    joined = docs.select(*(docs[c] for c in rest), docs["text"].cast("binary").alias("_text"), order.alias("_ord"))
-    joined = joined.join(cuts, joined["_ord"] == cuts["_at"], "left").select(*rest, "_text", "_cuts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    out = joined.mapInArrow(_cut(rest, normalise), f"{schema}, _kept string, _size long, _gone long")
-    out = out.withColumnsRenamed({"_kept": "text", "_size": "n_words", "_gone": "n_removed"})
-    return out.select(*[c for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
+    own = squeezed(docs.select(packed(docs, rest), order.alias("_ord"), docs["text"].cast("binary").alias("_text")), "_text")
+    joined = own.join(cuts, own["_ord"] == cuts["_at"], "left").select("row", "_text", "_cuts")
+    schema = with_row(joined, text=StringType(), n_words=LongType(), n_removed=LongType())
+    out = joined.mapInArrow(_cut(normalise), schema)
+    column = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
+    return out.select(*(column(c) for c in docs.columns if c not in ("n_words", "n_removed")), "n_words", "n_removed")
 
 
 #: DuckDB SQL for the digests of ``dedup_substrings`` over ``documents``.

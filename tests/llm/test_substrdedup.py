@@ -50,7 +50,7 @@ def test_matches_brute_force(spark):
     assert any(r[2] for r in got)
 
 
-@pytest.mark.parametrize("frequent", [2, 256])
+@pytest.mark.parametrize("frequent", [2, 1024])
 def test_planted(spark, monkeypatch, frequent):
     monkeypatch.setattr(substrdedup, "FREQUENT", frequent)
     rng = random.Random(frequent)
@@ -68,7 +68,7 @@ def test_planted(spark, monkeypatch, frequent):
             w[rng.randrange(len(w))] = "edit"
         rows.append((1000 - i, "\n ".join(w) + "\tend"))
     rows += [(2000 + i, rows[3][1]) for i in range(5)] + [(5, None), (6, ""), (7, "a b a b " * 3000)]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _key string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _cuts string")
     assert rows_of(substrdedup.dedup_substrings(docs)) == sorted(brute(rows), key=str)
 
 
