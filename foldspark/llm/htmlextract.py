@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .scratch import table
+from .scratch import packed, table, with_row
 
 #: Share of a host's votes that makes a path a winner.
 SHARE = 0.05
@@ -278,14 +279,11 @@ def main_text(source: str, winners: list[int] | None = None) -> str:
     return text
 
 
-def _extract(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("_html"), batch.column("_winners"), strict=True)
-            texts = [main_text(source.as_py(), winners.as_py()) for source, winners in pairs]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "_main"])
-
-    return run
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("_html"), batch.column("winners"), strict=True)
+        texts = [main_text(source.as_py(), winners.as_py()) for source, winners in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def host_of(url):
@@ -318,7 +316,8 @@ def extract(pages: DataFrame) -> DataFrame:
     source = F.coalesce(pages["html"], F.lit(""))
     winners = table(consensus(pages.select(host_of(pages["url"]).alias("host"), source.alias("html"))), "host-winners")
     rest = [c for c in pages.columns if c != "text"]
-    joined = pages.select(*(pages[c] for c in rest), host_of(pages["url"]).alias("_host"), source.alias("_html"))
-    joined = joined.join(winners, joined["_host"] == winners["host"], "left").select(*(joined[c] for c in rest), "_html", winners["winners"].alias("_winners"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*rest).schema)
-    return joined.mapInArrow(_extract(rest), f"{schema}, _main string").withColumnRenamed("_main", "text")
+    own = pages.select(packed(pages, rest), host_of(pages["url"]).alias("_host"), source.alias("_html"))
+    joined = own.join(winners, own["_host"] == winners["host"], "left").select("row", "_html", "winners")
+    out = joined.mapInArrow(_extract, with_row(joined, text=StringType()))
+    column = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
+    return out.select(*(column(c) for c in dict.fromkeys([*pages.columns, "text"])))

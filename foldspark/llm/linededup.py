@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
-from .scratch import parts, table
+from .scratch import packed, parts, table, with_row
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Keys held by more than one in HOT of all (document, key) entries are broadcast; there are fewer than HOT of them.
@@ -198,10 +199,9 @@ def _rewrite(min_chars: int):
                 lines_in.append(len(lines))
                 dropped.append(len(lines) - len(keep))
             kept = pa.array(texts, pa.binary()).cast(pa.string())
-            names = [n for n in batch.schema.names if n not in ("_text", "_drops")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), kept, pa.array(lines_in, pa.int64()), pa.array(dropped, pa.int64())],
-                [*names, "_text", "_lines", "_dropped"],
+                [batch.column("row"), kept, pa.array(lines_in, pa.int64()), pa.array(dropped, pa.int64())],
+                ["row", "text", "n_lines", "n_dropped"],
             )
 
     return run
@@ -247,13 +247,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     bytes_of = lambda c: F.unhex(F.regexp_replace(F.lpad(F.hex(c), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1"))
     lists = lists.select("_id", F.transform("_pairs", lambda p: F.concat(bytes_of(p["h1"]), bytes_of(p["h2"]))).alias("_drops"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.select(*rest, docs["text"].cast("binary").alias("_text"))
-    joined = joined.join(lists, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    out = joined.mapInArrow(_rewrite(min_chars), f"{schema}, _text string, _lines long, _dropped long")
-    renamed = {"_text": "text", "_lines": "n_lines", "_dropped": "n_dropped"}
-    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-    return out.withColumnsRenamed(renamed).select(*order)
+    own = docs.select(packed(docs, rest), docs["doc_id"].cast("long").alias("_own"), docs["text"].cast("binary").alias("_text"))
+    joined = own.join(lists, own["_own"] == lists["_id"], "left").select("row", "_text", "_drops")
+    out = joined.mapInArrow(_rewrite(min_chars), with_row(joined, text=StringType(), n_lines=LongType(), n_dropped=LongType()))
+    column = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
+    return out.select(*(column(c) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
 
 
 #: DuckDB SQL for the digests of ``dedup_lines`` over ``documents``.
