@@ -5,14 +5,16 @@
    ``SAMPLE`` classes, taken by hash; every class is then indexed.
 3. A class is stored in the list of its nearest centroid, with the codes of
    its residual and the length of what the codes miss.
-4. Each class probes every list that can hold a partner.  A partner lies within
+4. Each class probes the lists that can hold a partner.  A partner lies within
    ``r`` (the distance of unit vectors at the threshold) and on the list's side
-   of the bisector between the two centroids, so a list is left out only if the
-   query is further than ``r`` from that side.
+   of the bisector between the two centroids.  The part of a displacement of
+   length ``r`` that points across one bisector has a deviation of r / sqrt(d)
+   over all directions; a list is probed if its side is at most ``REACH``
+   deviations away, which is ``r`` itself in few dimensions.
 5. In a list, asymmetric table look-ups give the distance to each member's
    codes.  A partner's is at most ``r`` plus what its codes miss; the rest is
-   dropped, and the exact cosine in double precision decides.  Steps 4 and 5
-   lose no partner, so the recall does not hang on tuning.
+   dropped (this loses no partner), and the exact cosine in double precision
+   decides.
 6. Long lists are cut into tiles of members and blocks of queries.  A task
    returns counts and a spanning forest of its links, never its pairs.
 """
@@ -37,6 +39,8 @@ SAMPLE = 32_768
 SUBSPACES = 8
 #: Members and queries of one task step, at most.
 TILE, BLOCK = 4096, 4096
+#: Deviations within which a list is probed.
+REACH = 3.0
 #: Room for rounding in single precision.
 SLACK = 1e-3
 
@@ -67,6 +71,7 @@ class Model:
     def __init__(self, sample: np.ndarray, classes: int, threshold: float):
         x = unit(sample)
         self.radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+        self.reach = min(1.0, REACH / np.sqrt(x.shape[1])) * self.radius
         self.coarse = kmeans(x, max(1, min(len(x) // 16, round(2 * np.sqrt(classes)))))
         residual = x - self.coarse[_nearest(x, self.coarse)]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
@@ -87,7 +92,7 @@ class Model:
         square = (self.coarse**2).sum(axis=1)[None, :] - 2 * (x @ self.coarse.T)
         beyond = (square - square[np.arange(len(x)), own][:, None]) / (2 * self.apart[own])
         beyond[np.arange(len(x)), own] = 0
-        return np.nonzero(beyond <= self.radius)
+        return np.nonzero(beyond <= self.reach)
 
     def candidates(self, query: np.ndarray, centre: int, codes: np.ndarray, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) pairs that the asymmetric distance cannot rule out."""
@@ -100,8 +105,8 @@ class Model:
         return np.nonzero(total <= ((self.radius + missed) ** 2 + SLACK)[None, :].astype(np.float32))
 
 
-def _classes(width: int):
-    """Rows to (vec_id, key, vec): the key of a valid vector's single-precision bytes, else null."""
+def _classes(width: int, kind: str):
+    """Rows to (vec_id, key, vec): a valid vector's bytes in its own precision and their key, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +115,9 @@ def _classes(width: int):
                 values = x.values if x.is_valid else None
                 key = raw = None
                 if values is not None and len(values) == width and not values.null_count:
-                    own = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    own = values.to_numpy(zero_copy_only=False)
                     if np.isfinite(own).all() and own.any():
-                        raw = own.tobytes()
+                        raw = own.astype(kind).tobytes()
                         key = xxhash.xxh3_128_digest(raw)
                 keys.append(key)
                 raws.append(raw)
@@ -121,21 +126,21 @@ def _classes(width: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 _ROW = "list int, kind int, rep long, n long, vec binary, codes binary, missed double"
 
 
-def _deal(model: Model):
+def _deal(model: Model, kind_of_vec: str):
     """Classes to member rows (kind 0) and one query row (kind 1) for each probed list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
-                x = unit(_matrix(batch.column("vec")))
+                x = unit(_matrix(batch.column("vec"), kind_of_vec))
                 own, codes, missed = model.index(x)
                 row, to = model.probes(x, own)
                 rep, n, vec = batch.column("rep"), batch.column("n"), batch.column("vec")
@@ -152,7 +157,7 @@ def _deal(model: Model):
     return run
 
 
-def _search(model: Model, threshold: float):
+def _search(model: Model, threshold: float, kind_of_vec: str):
     """Tiles, members before queries, to rows (a, b, n): links of a when b is null, else a link that spans."""
 
     def links_of(members, queries) -> tuple:
@@ -206,7 +211,7 @@ def _search(model: Model, threshold: float):
                 if tiles[a] != tile:
                     tile, members = tiles[a], empty[:]
                 rep = part.column("rep").to_numpy(zero_copy_only=False)
-                x = unit(_matrix(part.column("vec")))
+                x = unit(_matrix(part.column("vec"), kind_of_vec))
                 if kinds[a] == 0:
                     codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(b - a, -1)
                     numbers = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "missed"))
@@ -229,17 +234,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     Rows that repeat a vec_id link like any others.  Other columns are ignored.
     """
     spark, parts_ = vectors.sparkSession, parts(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    precision = "<f4" if single else "<f8"
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
+    )
     common = rows.where("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    named = rows.mapInArrow(_classes(common["w"] if common else 0), "vec_id long, key binary, vec binary")
+    named = rows.mapInArrow(_classes(common["w"] if common else 0, precision), "vec_id long, key binary, vec binary")
     named = table(named, "vectors")
     valid = named.where("key is not null and vec_id is not null")
     classes = valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = table(classes, "vector-classes")
     taken = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()  # bounded by ``sample``
     if taken:
-        model = Model(np.stack([np.frombuffer(r["vec"], np.float64) for r in taken]), classes.count(), threshold)
-        dealt = table(classes.select("rep", "n", "vec").mapInArrow(_deal(model), _ROW), "vector-lists")
+        model = Model(np.stack([np.frombuffer(r["vec"], precision) for r in taken]), classes.count(), threshold)
+        dealt = table(classes.select("rep", "n", "vec").mapInArrow(_deal(model, precision), _ROW), "vector-lists")
         sizes = {(r["list"], r["kind"]): r["count"] for r in dealt.groupBy("list", "kind").count().collect()}  # two rows a centroid
         side = lambda kind, size: F.array(*(F.lit(-(-sizes.get((c, kind), 0) // size) or 1) for c in range(len(model.coarse))))
         tiles, blocks = side(0, TILE)[F.col("list")], side(1, BLOCK)[F.col("list")]
@@ -250,7 +260,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
         tile = (F.col("list").cast("long") * 1_000_000 + member) * 1_000_000 + query
         spread = spread.select(tile.alias("tile"), "list", "kind", "rep", "n", "vec", "codes", "missed")
         found = spread.repartition(parts_, "tile").sortWithinPartitions("tile", "kind")
-        found = table(found.mapInArrow(_search(model, threshold), "a long, b long, n long"), "vector-links")
+        found = table(found.mapInArrow(_search(model, threshold, precision), "a long, b long, n long"), "vector-links")
         sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
         roots = connected_components(found.where("b is not null").select("a", "b"))
         classes = classes.select("key", "rep", "n").join(sums, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
