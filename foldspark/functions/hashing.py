@@ -112,7 +112,7 @@ def engine_hash(column: Column) -> Column:
 
 def bob(column: Column, seed: int = 0) -> Column:
     """Jenkins lookup3 of the UTF-8 bytes."""
-    return _string_udf(lambda b: lookup3_block(b, seed, 0))(column)
+    return _string_udf(lambda b: lookup3_block(b, seed, 0)[:1])(column)
 
 
 def bob2(column: Column, seed1: int = 0, seed2: int = 0) -> Column:
