@@ -200,3 +200,35 @@ def _bodies(spark: SparkSession) -> DataFrame:
             F.struct(lit(t).alias("t"), lit(label).alias("label"), many(body).alias("body"), many(phrase).alias("key"), at.alias("key_at"))
         )
     return _rows(spark, rows)
+
+
+def _sql() -> str:
+    """DuckDB SQL for ``scan`` over ``documents``."""
+    rows = ", ".join(f"('{label}', string_split('{body}', ' '), string_split('{key}', ' '), {_find(body.split(), key.split())})" for label, key, body in TEMPLATES)
+    places = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {same})) AS p FROM d")
+    agree = lambda what, at: f"len(list_filter(range(len({what})), lambda q: off + {at} + q >= 0 AND ws[off + {at} + q + 1] = {what}[q + 1]))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t(label, body, key, ka) AS (VALUES {rows}),
+post AS (SELECT label, unnest(body) AS w, unnest(range(len(body))) AS q FROM t),
+occ AS (SELECT r, w, p FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d) WHERE w IN (SELECT w FROM post)),
+df AS (SELECT w, count(DISTINCT r) AS n FROM occ GROUP BY w),
+rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM occ) JOIN df USING (w)) WHERE k <= {RARE}),
+votes AS (SELECT r, label, p - q AS off, count(*) AS c FROM occ JOIN rare USING (r, w) JOIN post USING (w) GROUP BY ALL HAVING c >= {MIN_VOTES}),
+aligned AS (SELECT r, label, {agree("body", "0")} / len(body) AS share, {agree("key", "ka")} = len(key) AS ok
+  FROM votes JOIN t USING (label) JOIN d USING (r)),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM aligned WHERE ok AND share >= {MIN_FRACTION} GROUP BY r),
+place AS ({" UNION ALL ".join(places)}),
+base AS (SELECT r, count(*) AS n, min(p) AS a, max(p) AS b, list(DISTINCT label) AS labels FROM place GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN own USING (r) LEFT JOIN base USING (r)"""
+
+
+SQL = _sql()

@@ -89,4 +89,5 @@ ORACLE: dict[str, str] = {
     "op3_embedding_dedup": embdedup.SQL,
     "op6_quality_rules": quality.SQL,
     "op7_substring_dedup": substrdedup.SQL,
+    "op8_license_scan": license.SQL,
 }

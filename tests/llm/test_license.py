@@ -70,3 +70,12 @@ def test_odd_texts(spark):
     got = check(spark.createDataFrame(rows, "doc_id long, text string, labels string, row int"))
     assert any("mit" in r[6].split(",") for r in got if r[0] == 4)
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_matches_sql(spark):
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
+    assert sorted(map(tuple, license.scan(docs).collect()), key=str) == sorted(con.execute(license.SQL).fetchall(), key=str)
