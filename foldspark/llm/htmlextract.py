@@ -58,6 +58,8 @@ CHROME_WORDS = set(
     "commentlist disqus reply replies respond responses share sharing social related recommended newsletter subscribe subscription signup login "
     "search pagination pager widget widgets toolbar skip copyright".split()
 )
+# First parts of class names that say what stands next to an element, not what it is.
+BESIDE = {"has", "with", "no", "without", "is", "js", "layout"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -70,7 +72,8 @@ PART = re.compile(r"[a-z]+")
 class Page:
     """Blocks of clean text and the containers above them."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_class: bool = True):
+        self.by_class = by_class
         #: (path, parent, whether the element is an article or main)
         self.containers: list[tuple[int, int, bool]] = []
         #: (text, characters in links, container)
@@ -84,18 +87,19 @@ class Page:
             found.setdefault(name.lower(), references.unescape(value.strip("\"'")))
         return found
 
-    @staticmethod
-    def _is_chrome(tag: str, a: dict[str, str], inside_article: bool) -> bool:
+    def _is_chrome(self, tag: str, a: dict[str, str], inside_article: bool) -> bool:
         if tag in CHROME or (tag == "header" and not inside_article) or not a:
             return tag in CHROME or (tag == "header" and not inside_article)
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
             return True
         if a.get("role", "").lower() in CHROME_ROLES:
             return True
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "article", "main") or not self.by_class:
             return False
         for name in (*a.get("class", "").lower().split(), *a.get("id", "").lower().split()):
             parts = PART.findall(name)
+            if parts and parts[0] in BESIDE:
+                continue
             if not CHROME_WORDS.isdisjoint(parts) or (not inside_article and parts in (["header"], ["site", "header"], ["page", "header"])):
                 return True
         return False
@@ -245,6 +249,12 @@ class Page:
         return "\n".join(text for text, _, container in self.blocks if inside[container])
 
 
+def parsed(source: str) -> Page:
+    """The page; where class names and ids would leave nothing of it, without their help."""
+    page = Page(source)
+    return page if page.blocks else Page(source, by_class=False)
+
+
 def _signed(path: int) -> int:
     return path - (1 << 64) if path >> 63 else path
 
@@ -253,7 +263,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths, sizes = [], [], []
         for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
-            page = Page(source.as_py())
+            page = parsed(source.as_py())
             path = page.best()
             if path is not None:
                 hosts.append(host.as_py())
@@ -264,7 +274,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(source: str, winners: list[int] | None = None) -> str:
     """Main text of one page, from the first fair winning path or the page's own best container."""
-    page = Page(source)
+    page = parsed(source)
     own = page.best()
     if own is None:
         return ""

@@ -42,6 +42,8 @@ def test_synthetic_pages(spark):
         ("<p>x&nbsp;&#160; y\n\tz</p><!-- <p>no</p> --><p hidden>no</p>", "x y z"),
         ("<div>" * 3000 + PARA, PARA),
         ("<p>unclosed <b", "unclosed <b"),
+        (f"<div class='page has-sidebar'><div class=sidebar-1>links</div><div class=post>{PARA}</div></div>", PARA),
+        (f"<div class='widget'><p>{PARA}</p><form>mail</form></div>", PARA),
     ],
 )
 def test_pages(source, want):
