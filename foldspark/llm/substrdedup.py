@@ -185,6 +185,7 @@ def _stretches(length: int):
                 anchor = anchors_of(words, length)
                 frequent = {x["anchor"]: x["frequent"] for x in found[at].as_py()}
                 edge = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)])).tolist()
+                settled: list[tuple[int, int]] = []
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     value = int(anchor[a])
                     if value not in frequent:
@@ -192,12 +193,16 @@ def _stretches(length: int):
                     for s, e in [(i, i + 1) for i in range(a, b)] if frequent[value] else [(a, b)]:
                         body = b" ".join(words[s : e + length - 1])
                         print_ = xxhash.xxh3_128_digest(body)
-                        if print_ in seen:
-                            out.append((value, order, tag, s, e - s, None))
+                        if print_ in seen and settled and settled[-1][1] == s:
+                            settled[-1] = (settled[-1][0], e)
+                        elif print_ in seen:
+                            settled.append((s, e))
                         else:
                             seen.add(print_)
                             route = xxhash.xxh3_64_intdigest(body) >> 1 if frequent[value] else value
                             out.append((route, order, tag, s, e - s, body))
+                aside = xxhash.xxh3_64_intdigest(b"%d %d" % (order, tag)) >> 1  # by document: no shard has to see these
+                out += [(aside, order, tag, s, e - s, None) for s, e in settled]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             names = ["route", "ord", "tag", "start", "count", "body"]
             columns = zip(*out, strict=True) if out else [[]] * 6
