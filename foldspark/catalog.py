@@ -12,8 +12,10 @@ from .operators.accumulator import Accumulator
 from .operators.opaque import divide, opaque_aggregate
 from .plans.engine import aggregate, distinct_keys, finish, merge_partials, partial, reaggregate
 from .plans.spec import AggSpec, StateCol, count, exact_sum
+from .sources import wire
 from .sources.datagen import generate
 from .sources.staging import read_table as read
+from .sources.staging import shared_path
 from .streaming import ingest, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,3 +313,19 @@ def stream_foreach_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.total_rows(spark, ingest.run_partials(ingest.file_stream(spark, sf_dir, "events"), per_event())[1])
+
+
+@query
+def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.lit(1).cast("long").alias("count"))
+    back = wire.accepted(wire.decode(wire.encode(records, 1000)))
+    return aggregate(back, AggSpec(by("key"), (StateCol("n", F.col("count"), "uint32_sum"),)))
+
+
+@query
+def load_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated batches sent to a watched folder and folded by the stream that watches it."""
+    folder = shared_path(spark, "load")
+    ingest.send_batches([generate(spark, 10_000, 100, 6, seed=n) for n in range(3)], folder)
+    stream = ingest.watched_stream(spark, folder, "key string, count long", 8)
+    return ingest.run_partials(stream, AggSpec(by("key"), (StateCol("count", F.col("count")),)))[0]

@@ -102,5 +102,6 @@ ORACLE: dict[str, str] = {
     "(SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS b FROM orders)",
     "stream_complete": EVENT_COUNT.format(""),
     "stream_foreach_partials": EVENT_COUNT.format(""),
+    "wire_roundtrip": "SELECT event_type AS key, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "ingest_metrics": "SELECT count(*) AS total_rows FROM events",
 }

@@ -51,3 +51,30 @@ def run_partials(stream: DataFrame, spec: AggSpec) -> tuple[DataFrame, Streaming
     query = start_partials(stream, spec, stage, shared_path(spark, "stream-state"))
     query.awaitTermination()
     return finish(merge_partials([spark.read.parquet(stage).drop("batch")], spec), spec), query
+
+
+def socket_stream(spark: SparkSession, host: str, port: int, schema: str) -> DataFrame:
+    """JSON lines from a socket as records; lines that cannot be read are null records and are left out."""
+    from pyspark.sql import functions as F
+
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return lines.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+
+
+def send_batches(batches: list[DataFrame], folder: str) -> None:
+    """The sending side of a load test: each batch becomes new files of a watched folder, complete when they appear."""
+    for batch in batches:
+        batch.write.mode("append").parquet(folder)
+
+
+def watched_stream(spark: SparkSession, folder: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """The receiving side: records of files as they come into a folder."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
+
+
+def stop(query: StreamingQuery) -> None:
+    """Take in what is there now, then stop; the checkpoint lets another query go on from here."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()

@@ -15,3 +15,12 @@ def total_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """(total_rows): all rows that were inserted."""
     rows = sum(n for _, n, _ in progress(query))
     return spark.range(1).selectExpr(f"cast({rows} as bigint) AS total_rows")
+
+
+def counted(df: DataFrame, name: str):
+    """(df, observation): the rows that pass, counted on the way without another job."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
