@@ -15,7 +15,7 @@ from .plans.spec import AggSpec, StateCol, count, exact_sum
 from .sources import wire
 from .sources.datagen import generate
 from .sources.staging import read_table as read
-from .sources.staging import shared_path
+from .sources.staging import shared_path, spread
 from .streaming import ingest, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def by(*columns: str) -> dict[str, Column]:
 
 def words(docs: DataFrame) -> DataFrame:
     """One row a word: runs between spaces, tabs and line ends."""
-    return docs.select(F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word")).where("word <> ''")
+    return spread(docs.select("text")).select(F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word")).where("word <> ''")
 
 
 def per_word() -> AggSpec:

@@ -24,6 +24,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt out to all of them; any other DataFrame as it is.
+
+    One file with one row group is one task, however much work follows.  A
+    large table has partitions enough and is never shuffled here.  A plan with
+    exchanges has its own partitioning and is left alone.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
+
+
 def decode_batch(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of a batch of JSON lines in column ``value``; a bad record never loses its batch."""
     from pyspark.sql import functions as F
