@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import linededup, packing, quality, simhash, substrdedup
 from foldspark.llm.scratch import table
 from foldspark.sources.shipping import ship
+from foldspark.sources.staging import spread
 
 
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -25,31 +26,31 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents which the rules and their host's verdict accept."""
     ship(spark)
-    return quality.keep_good(docs)
+    return quality.keep_good(spread(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that recur in three or more of them."""
     ship(spark)
-    return _as_documents(linededup.dedup_lines(docs), docs)
+    return _as_documents(linededup.dedup_lines(spread(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(spread(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without windows of 20 words that start earlier elsewhere."""
     ship(spark)
-    return _as_documents(substrdedup.dedup_substrings(docs, normalise=False), docs)
+    return _as_documents(substrdedup.dedup_substrings(spread(docs), normalise=False), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(spread(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
