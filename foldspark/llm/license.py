@@ -6,9 +6,11 @@
    search) keep their words for the next steps.
 2. The document frequency of every licence word over all documents; there are
    no more of them than words in the templates.
-3. Each candidate looks up its rarest licence words (highest IDF): occurrence
-   minus posting is an offset, and the templates' postings are intersected by
-   counting the rare words that agree on the same offset.
+3. Each template is looked up by the rarest words (highest IDF) of its own
+   mandatory phrase: occurrence minus posting is an offset, and the postings are
+   intersected by counting the words that agree on the same offset.  Wherever
+   the phrase stands all its words do, so no place of it is missed, whatever
+   other templates the text holds.
 4. At the best offset the template must agree with the text in at least half
    of its words and its mandatory phrase must stand where the template has it.
 """
@@ -65,6 +67,7 @@ TEMPLATES = (
     ),
 )
 
+#: Rare words of a file that the SQL looks up; ``scan`` needs no such bound.
 RARE = 8
 MIN_VOTES = 2
 MIN_FRACTION = 0.5
@@ -141,13 +144,15 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     seen = features.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     frequency = {r["w"]: r["df"] for r in seen.collect()}  # at most one row for each word of the templates
-    rising = F.array(*map(F.lit, sorted(VOCABULARY, key=lambda w: (frequency.get(w, 0), w))))  # by falling IDF
-    rare = F.slice(F.array_intersect(rising, "present"), 1, RARE)
-    candidates = features.where("words is not null").select("row", "words", rare.alias("rare"))
-    found = candidates.select("row", "rare", F.posexplode("words").alias("p", "w")).where(F.array_contains("rare", F.col("w")))
-    votes = found.join(F.broadcast(_postings(spark)), "w").groupBy("row", "t", (F.col("p") - F.col("q")).alias("off")).agg(F.count("*").alias("votes"))
-    offsets = votes.where(F.col("votes") >= MIN_VOTES).select("row", "t", "off")
-    aligned = offsets.join(F.broadcast(_bodies(spark)), "t").join(candidates.select("row", "words"), "row")
+    posted = _postings(frequency)
+    rare = F.array(*map(F.lit, sorted({w for w, _, _ in posted})))
+    candidates = features.where("words is not null").select("row", "words")
+    found = candidates.select("row", F.posexplode("words").alias("p", "w")).where(F.array_contains(rare, F.col("w")))
+    rows = [F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for w, t, q in posted]
+    votes = found.join(F.broadcast(_rows(spark, rows)), "w").groupBy("row", "t", (F.col("p") - F.col("q")).alias("off")).agg(F.count("*").alias("votes"))
+    asked = F.array(*(F.lit(sum(x == t for _, x, _ in posted)) for t in range(len(TEMPLATES))))
+    offsets = votes.where(F.col("votes") == F.get(asked, F.col("t"))).select("row", "t", "off")
+    aligned = offsets.join(F.broadcast(_bodies(spark)), "t").join(candidates, "row")
     word_at = lambda i: F.when(i >= 0, F.get("words", i))
     agree = F.filter(F.transform("body", lambda w, q: word_at(F.col("off") + q) == w), lambda x: x)
     share = F.size(agree) / F.size("body")
@@ -176,17 +181,15 @@ def _rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _postings(spark: SparkSession) -> DataFrame:
-    """(word, template, position) of every word of the templates: a table of fixed size."""
-    lit = F.lit
-    return _rows(
-        spark,
-        [
-            F.struct(lit(w).alias("w"), lit(t).alias("t"), lit(q).alias("q"))
-            for t, (_, _, text) in enumerate(TEMPLATES)
-            for q, w in enumerate(text.split())
-        ],
-    )
+def _postings(frequency: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(word, template, position) of the MIN_VOTES rarest words of each template's mandatory phrase."""
+    posted = []
+    for t, (_, key, text) in enumerate(TEMPLATES):
+        phrase, body = key.split(), text.split()
+        at = _find(body, phrase)
+        rarest = sorted(range(len(phrase)), key=lambda q: (frequency.get(phrase[q], 0), phrase[q], q))[:MIN_VOTES]
+        posted += [(phrase[q], t, at + q) for q in rarest]
+    return posted
 
 
 def _bodies(spark: SparkSession) -> DataFrame:

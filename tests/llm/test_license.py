@@ -79,3 +79,30 @@ def test_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
     assert sorted(map(tuple, license.scan(docs).collect()), key=str) == sorted(con.execute(license.SQL).fetchall(), key=str)
+
+
+def test_many_licences_in_one_text(spark):
+    """No template is lost to the words of others: phrase and share alone decide, held against every offset."""
+
+    def whole(text):
+        w, found = words_of(text), {}
+        for label, key, body in license.TEMPLATES:
+            b, k = body.split(), key.split()
+            at = next(i for i in range(len(b)) if b[i : i + len(k)] == k)
+            for off in range(-at, len(w)):
+                same = sum(0 <= off + q < len(w) and w[off + q] == x for q, x in enumerate(b))
+                if w[off + at : off + at + len(k)] == k and same >= license.MIN_FRACTION * len(b):
+                    found[label] = max(found.get(label, 0), same / len(b))
+        return found
+
+    bodies = [body for _, _, body in license.TEMPLATES]
+    texts = [f"{a} x {b}" for a in bodies for b in bodies] + [" x ".join(bodies), " ".join(reversed(bodies)), " y ".join(bodies[1:4])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license.scan(df).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        own = whole(text)
+        base = set(filter(None, brute_base(text)[-1].split(",")))
+        assert got[i].labels == ",".join(sorted(set(own) | base))
+        assert got[i].score == max(own.values())
+    assert {label for label, _, _ in license.TEMPLATES} <= set(got[len(bodies) ** 2].labels.split(","))
