@@ -6,9 +6,9 @@
 2. Spark adds up the votes for each path of each host, combined before the
    shuffle, and keeps the paths which hold a twentieth of the host's votes (20
    at most, by counting), best first.
-3. Each page is extracted again from its host's first winning path that holds
-   a fair part of the page's text; a page without one uses its own best
-   container.
+3. Each page whose own best container is no winner is extracted again from its
+   host's first winning path that holds a fair part of the page's text and more
+   than a part of that container; a page without one uses its own.
 """
 
 from __future__ import annotations
@@ -236,17 +236,29 @@ class Page:
         for text, linked, container in self.blocks:
             own[container] += len(text) - min(linked, len(text))
         here = max(range(len(own)), key=lambda n: (own[n], -n))
-        # go up as long as that gathers text the container shares with its siblings
-        while self.containers[here][1] > 0 and total[self.containers[here][1]] > 1.02 * total[here] and total[here] < 0.9 * total[0]:
-            here = self.containers[here][1]
+        # go up as long as that gathers blocks which are not mostly links, however few they are
+        plain = [0] * len(self.containers)
+        for text, linked, container in self.blocks:
+            plain[container] += 2 * linked < len(text)
+        for n in range(len(plain) - 1, 0, -1):
+            plain[self.containers[n][1]] += plain[n]
+        up = self.containers[here][1]
+        while up >= 0:
+            if plain[up] > plain[here]:
+                here = up
+            up = self.containers[up][1]
         return self.containers[here][0]
 
-    def text_of(self, path: int) -> str:
-        """Blocks below the containers with this path, in page order."""
+    def inside(self, path: int) -> list[int]:
+        """Numbers of the blocks below the containers with this path, in page order."""
         inside = [False] * len(self.containers)
         for n, (own, parent, _) in enumerate(self.containers):
             inside[n] = own == path or (parent >= 0 and inside[parent])
-        return "\n".join(text for text, _, container in self.blocks if inside[container])
+        return [n for n, (_, _, container) in enumerate(self.blocks) if inside[container]]
+
+    def text_of(self, path: int) -> str:
+        """Blocks below the containers with this path, in page order."""
+        return "\n".join(self.blocks[n][0] for n in self.inside(path))
 
 
 def parsed(source: str) -> Page:
@@ -273,18 +285,23 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(source: str, winners: list[int] | None = None) -> str:
-    """Main text of one page, from the first fair winning path or the page's own best container."""
+    """Main text of one page, from the first fair winning path or the page's own best container.
+
+    The page's own path stays where it is a winner itself, and where a winning
+    path lies wholly inside it and so could only take text away.
+    """
     page = parsed(source)
     own = page.best()
     if own is None:
         return ""
     text = page.text_of(own)
-    for path in winners or ():
-        path &= 0xFFFFFFFFFFFFFFFF
-        if path == own:
-            return text
+    winning = [path & 0xFFFFFFFFFFFFFFFF for path in winners or ()]
+    if own in winning:
+        return text
+    held = set(page.inside(own))
+    for path in winning:
         other = page.text_of(path)
-        if len(other) >= FAIR * len(text):
+        if len(other) >= FAIR * len(text) and not held.issuperset(page.inside(path)):
             return other
     return text
 

@@ -63,3 +63,24 @@ def test_consensus(spark):
     assert PARA * 2 in got[99].split("\n") and got[97] == ""
     assert htmlextract.extract(df.limit(0)).count() == 0
     assert htmlextract.extract(df).columns == ["page_id", "url", "html", "winners", "text"]
+
+
+@pytest.mark.parametrize("times", [3, 12, 35, 120])
+def test_lead_beside_content_of_any_length(times):
+    """Headline and lead stay however long the article is, also around a box of its own."""
+    lead, body = "L" + PARA, PARA * times
+    for box in ("<div class=content><p>{}</p></div>", "<div class=wrap><div class=content><p>{}</p></div></div>"):
+        page = f"<body><h1>Head</h1><p>{lead}</p>{box.format(body)}<div><a href=/>more and more links</a></div></body>"
+        assert htmlextract.main_text(page).startswith(f"Head\n{lead}\n{body}")
+        bare = f"<p>{lead}</p>{box.format(body)}"
+        assert htmlextract.main_text(bare) == f"{lead}\n{body}"
+
+
+def test_other_layout_on_a_host(spark):
+    """A winning path that holds a part of a page's article does not replace the whole of it."""
+    text = lambda x: f"<body><div class=text><p>{x}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", text(PARA * 3)) for i in range(20)]
+    rows.append((50, "http://h.example/x", f"<body><div class=text><p>{PARA * 3}</p></div><div class=more><p>{'M' + PARA * 2}</p></div></body>"))
+    got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[50] == f"{PARA * 3}\n{'M' + PARA * 2}"
+    assert all(got[i] == PARA * 3 for i in range(20))
