@@ -1,6 +1,7 @@
 """Embedding near-duplicates by product quantisation with inverted lists.
 
-1. Equal vectors collapse into one class with its count.
+1. Equal vectors collapse into one class with its count.  Each length of
+   vectors is then indexed and searched by itself.
 2. Coarse centroids and residual codebooks are fitted on a bounded sample of
    ``SAMPLE`` classes, taken by hash; every class is then indexed.
 3. A class is stored in the list of its nearest centroid, with the codes of
@@ -105,7 +106,7 @@ class Model:
         return np.nonzero(total <= ((self.radius + missed) ** 2 + SLACK)[None, :].astype(np.float32))
 
 
-def _classes(width: int, kind: str):
+def _classes(kind: str):
     """Rows to (vec_id, key, vec): a valid vector's bytes in its own precision and their key, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def _classes(width: int, kind: str):
             for x in batch.column("embedding"):
                 values = x.values if x.is_valid else None
                 key = raw = None
-                if values is not None and len(values) == width and not values.null_count:
+                if values is not None and not values.null_count:
                     own = values.to_numpy(zero_copy_only=False)
                     if np.isfinite(own).all() and own.any():
                         raw = own.astype(kind).tobytes()
@@ -223,54 +224,59 @@ def _search(model: Model, threshold: float, kind_of_vec: str):
     return run
 
 
+def _linked(classes: DataFrame, count: int, precision: str, threshold: float, sample: int) -> DataFrame:
+    """(_key, links, component) of ``count`` classes of one length."""
+    taken = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()  # bounded by ``sample``
+    model = Model(np.stack([np.frombuffer(r["vec"], precision) for r in taken]), count, threshold)
+    dealt = table(classes.select("rep", "n", "vec").mapInArrow(_deal(model, precision), _ROW), "vector-lists")
+    sizes = {(r["list"], r["kind"]): r["count"] for r in dealt.groupBy("list", "kind").count().collect()}  # two rows a centroid
+    side = lambda kind, size: F.array(*(F.lit(-(-sizes.get((c, kind), 0) // size) or 1) for c in range(len(model.coarse))))
+    tiles, blocks = side(0, TILE)[F.col("list")], side(1, BLOCK)[F.col("list")]
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("kind") == 0, tiles).otherwise(blocks)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    spread = dealt.withColumn("mine", mine).withColumn("other", F.explode(every(F.when(F.col("kind") == 0, blocks).otherwise(tiles))))
+    member, query = (F.when(F.col("kind") == k, F.col("mine")).otherwise(F.col("other")) for k in (0, 1))
+    tile = (F.col("list").cast("long") * 1_000_000 + member) * 1_000_000 + query
+    spread = spread.select(tile.alias("tile"), "list", "kind", "rep", "n", "vec", "codes", "missed")
+    found = spread.repartition(parts(classes.sparkSession), "tile").sortWithinPartitions("tile", "kind")
+    found = table(found.mapInArrow(_search(model, threshold, precision), "a long, b long, n long"), "vector-links")
+    sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
+    roots = connected_components(found.where("b is not null").select("a", "b"))
+    classes = classes.select("key", "rep", "n").join(sums, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    return classes.select(
+        F.col("key").alias("_key"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
+        F.coalesce("root", "rep").alias("component"),
+    )
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors(vec_id, embedding)``.
 
     n_links is the number of other rows with a cosine of at least
     ``threshold``, component_id the smallest vec_id reachable over links.
-    Vectors that are null, zero, hold null or non-finite components or have
-    not the commonest length link with nothing and are their own component.  A
-    row without a vec_id links with nothing, has no component and is not kept.
+    Vectors that are null, zero or hold null or non-finite components link with
+    nothing and are their own component.  Vectors of different lengths do not
+    link with each other; every length present has an index of its own.  A row without a vec_id links with nothing, has no component and is not kept.
     Rows that repeat a vec_id link like any others.  Other columns are ignored.
     """
-    spark, parts_ = vectors.sparkSession, parts(vectors.sparkSession)
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     precision = "<f4" if single else "<f8"
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
     )
-    common = rows.where("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    named = rows.mapInArrow(_classes(common["w"] if common else 0, precision), "vec_id long, key binary, vec binary")
+    named = rows.mapInArrow(_classes(precision), "vec_id long, key binary, vec binary")
     named = table(named, "vectors")
     valid = named.where("key is not null and vec_id is not null")
     classes = valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = table(classes, "vector-classes")
-    taken = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()  # bounded by ``sample``
-    if taken:
-        model = Model(np.stack([np.frombuffer(r["vec"], precision) for r in taken]), classes.count(), threshold)
-        dealt = table(classes.select("rep", "n", "vec").mapInArrow(_deal(model, precision), _ROW), "vector-lists")
-        sizes = {(r["list"], r["kind"]): r["count"] for r in dealt.groupBy("list", "kind").count().collect()}  # two rows a centroid
-        side = lambda kind, size: F.array(*(F.lit(-(-sizes.get((c, kind), 0) // size) or 1) for c in range(len(model.coarse))))
-        tiles, blocks = side(0, TILE)[F.col("list")], side(1, BLOCK)[F.col("list")]
-        mine = F.pmod(F.xxhash64("rep"), F.when(F.col("kind") == 0, tiles).otherwise(blocks)).cast("int")
-        every = lambda n: F.sequence(F.lit(0), n - 1)
-        spread = dealt.withColumn("mine", mine).withColumn("other", F.explode(every(F.when(F.col("kind") == 0, blocks).otherwise(tiles))))
-        member, query = (F.when(F.col("kind") == k, F.col("mine")).otherwise(F.col("other")) for k in (0, 1))
-        tile = (F.col("list").cast("long") * 1_000_000 + member) * 1_000_000 + query
-        spread = spread.select(tile.alias("tile"), "list", "kind", "rep", "n", "vec", "codes", "missed")
-        found = spread.repartition(parts_, "tile").sortWithinPartitions("tile", "kind")
-        found = table(found.mapInArrow(_search(model, threshold, precision), "a long, b long, n long"), "vector-links")
-        sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-        roots = connected_components(found.where("b is not null").select("a", "b"))
-        classes = classes.select("key", "rep", "n").join(sums, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-        result = classes.select(
-            F.col("key").alias("_key"),
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
-            F.coalesce("root", "rep").alias("component"),
-        )
-    else:
-        result = classes.select(F.col("key").alias("_key"), (F.col("n") - 1).alias("links"), F.col("rep").alias("component"))
+    lengths = {r["bytes"]: r["count"] for r in classes.groupBy(F.length("vec").alias("bytes")).count().collect()}  # one row a length
+    several = [b for b, n in sorted(lengths.items()) if n > 1]
+    alone = classes.where(~F.length("vec").isin(several))
+    result = alone.select(F.col("key").alias("_key"), (F.col("n") - 1).alias("links"), F.col("rep").alias("component"))
+    for b in several:
+        result = result.unionByName(_linked(classes.where(F.length("vec") == b), lengths[b], precision, threshold, sample))
     joined = named.join(result, (F.col("key") == F.col("_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(

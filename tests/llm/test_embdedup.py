@@ -64,3 +64,20 @@ def test_odd_vectors(spark):
     assert got == sorted(want, key=str)
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
     assert embdedup.near_duplicates(df.where("vec_id = 2")).count() == 1
+
+
+def test_mixed_lengths(spark):
+    """Vectors of every length link with those of their own length, and with no others."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for at, (width, many) in enumerate([(24, 120), (7, 60), (3, 30), (5, 2), (2, 1)]):
+        centres = rng.normal(size=(4, width))
+        own = [(1000 * at + i, [float(np.float32(y)) for y in centres[i % 4] + rng.normal(size=width) * 0.1]) for i in range(many)]
+        own += [(1000 * at + 500, own[0][1]), (1000 * at + 501, [0.0] * width)]
+        rows += own
+        want |= brute(own) | {1000 * at + 501: (0, 1000 * at + 501)}
+    rows += [(9000, [1.0]), (9001, [1.0]), (9002, []), (9003, [1.0, 0.0, 0.0, 0.0])]
+    want |= {9000: (1, 9000), 9001: (1, 9000), 9002: (0, 9002), 9003: (0, 9003)}
+    got = as_rows(embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    assert {i: x[:2] for i, x in got.items()} == want
+    assert all(k == (i == c) for i, (_, c, k) in got.items())
