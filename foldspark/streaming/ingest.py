@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import finish, merge_partials, partial
 from ..plans.spec import AggSpec
 from ..sources.staging import shared_path
+from .metrics import Tally
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -24,15 +25,26 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | No
 
 def start_complete(stream: DataFrame, spec: AggSpec, out: str, checkpoint: str) -> StreamingQuery:
     """Keep the states in the state store and write the whole result after each batch."""
-    totals = partial(stream, spec)
-    write = lambda batch, _: finish(batch, spec).write.mode("overwrite").parquet(out)
-    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    totals, tally = partial(stream, spec), Tally()
+
+    def write(batch: DataFrame, n: int) -> None:
+        tally.between(n)
+        finish(batch, spec).write.mode("overwrite").parquet(out)
+
+    writer = totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return tally.follow(writer.trigger(availableNow=True).start())
 
 
 def start_partials(stream: DataFrame, spec: AggSpec, stage: str, checkpoint: str) -> StreamingQuery:
     """Write each batch's partial states; a batch that runs again overwrites its own files."""
-    write = lambda batch, n: partial(batch, spec).write.mode("overwrite").parquet(f"{stage}/batch={n}")
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    tally = Tally()
+
+    def write(batch: DataFrame, n: int) -> None:
+        tally.between(n)
+        partial(batch, spec).write.mode("overwrite").parquet(f"{stage}/batch={n}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return tally.follow(writer.trigger(availableNow=True).start())
 
 
 def run_complete(stream: DataFrame, spec: AggSpec) -> tuple[DataFrame, StreamingQuery]:

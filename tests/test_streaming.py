@@ -102,3 +102,16 @@ def test_rows_are_counted_on_the_way(spark):
     df, seen = metrics.counted(spark.range(123), "passed")
     df.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 123}
+
+
+@pytest.mark.parametrize("run", [ingest.run_complete, ingest.run_partials])
+def test_total_rows_of_more_batches_than_the_query_remembers(spark, tmp_path, run):
+    folder, kept = str(tmp_path / "in"), "spark.sql.streaming.numRecentProgressUpdates"
+    ingest.send_batches([generate(spark, 10 + n, 3, 2, seed=n, slices=1) for n in range(5)], folder)
+    spark.conf.set(kept, 3)
+    try:
+        _, query = run(ingest.watched_stream(spark, folder, SCHEMA, 1), counts())
+        assert len(metrics.progress(query)) < 5
+        assert metrics.total_rows(spark, query).first()["total_rows"] == 60
+    finally:
+        spark.conf.unset(kept)
