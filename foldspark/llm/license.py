@@ -1,22 +1,24 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
-1. One pass over the texts: words are normalised to a string with single
-   spaces, base phrases are counted, and the distinct licence words present are
-   listed.  Only texts that hold some template's mandatory phrase (a byte
-   search) keep their words for the next steps.
-2. The document frequency of every licence word over all documents; there are
-   no more of them than words in the templates.
+1. One pass over the texts splits each into normalised words, once, and takes
+   the postings of the phrases' words from it: (word, place).  Base phrases are
+   runs of postings at consecutive places.  A text keeps its words for the next
+   steps only if the postings hold every word of some template's mandatory
+   phrases.
+2. The document frequency of every such word over all documents; there are no
+   more of them than words in the phrases.
 3. Each template is looked up by the rarest words (highest IDF) of its own
-   mandatory phrase: occurrence minus posting is an offset, and the postings are
-   intersected by counting the words that agree on the same offset.  Wherever
-   the phrase stands all its words do, so no place of it is missed, whatever
-   other templates the text holds.
-4. At the best offset the template must agree with the text in at least half
-   of its words and its mandatory phrase must stand where the template has it.
+   mandatory phrases: place in the file minus place in the template is an
+   offset, and the postings are intersected by counting the words that agree on
+   the same offset.  Wherever the phrases stand all their words do, so no place
+   of them is missed, whatever other templates the text holds.
+4. At each such offset the mandatory phrases must stand where the template has
+   them, and the template must agree with the text in at least half of its words.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,46 +35,138 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Label, mandatory phrase, and words of a notice or of a licence's own text.
+# Label, mandatory phrases, and the text of a notice, a file header or a licence's own grant.
 TEMPLATES = (
-    ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("mit-notice", "mit license", "released under the mit license"),
-    ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "creative commons attribution 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("gpl-3.0", ("gnu general public license version 3",), "This work is licensed under the GNU General Public License version 3"),
+    ("apache-2.0", ("apache license version 2 0",), "Licensed under the Apache License, Version 2.0"),
+    ("mit-notice", ("mit license",), "Released under the MIT License"),
+    ("cc-by-nc-4.0", ("cc by nc 4 0",), "Licensed under CC BY-NC 4.0"),
+    (
+        "cc-by-4.0",
+        ("creative commons attribution 4 0",),
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    ),
+    (
+        "cc0-1.0",
+        ("has waived all copyright and related or neighboring rights",),
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
     (
         "mit",
-        "permission is hereby granted free of charge",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        ("granted free of charge to any person obtaining a copy of this software",),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
     ),
     (
         "gpl-notice",
-        "terms of the gnu general public license",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        ("under the terms of the gnu general public license",),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public "
+        "License along with this program.",
+    ),
+    (
+        "lgpl-notice",
+        ("under the terms of the gnu lesser general public license",),
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "agpl-notice",
+        ("under the terms of the gnu affero general public license",),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "apache-header",
+        ("apache license version 2 0", "you may not use this file except in compliance with the license"),
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
+        "or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "bsd-2-clause",
+        ("redistributions in binary form must reproduce", "provided with the distribution this software is provided by"),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY",
     ),
     (
         "bsd-3-clause",
-        "redistributions of source code must retain",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice",
+        ("redistributions in binary form must reproduce", "neither the name of"),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     (
         "isc",
-        "permission to use copy modify and or distribute this software",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify and or distribute this software",),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
     ),
     (
         "mpl-2.0",
-        "mozilla public license v 2 0",
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ("mozilla public license v 2 0",),
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at",
+    ),
+    (
+        "bsl-1.0",
+        ("any person or organization obtaining a copy of the software",),
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to '
+        "prepare derivative works of the Software",
+    ),
+    (
+        "zlib",
+        ("permission is granted to anyone to use this software for any purpose",),
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely",
+    ),
+    (
+        "unlicense",
+        ("free and unencumbered software released into the public domain",),
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 )
 
-#: Rare words of a file that the SQL looks up; ``scan`` needs no such bound.
-RARE = 8
-MIN_VOTES = 2
+#: Words by which a template is looked up.
+ASKED = 2
 MIN_FRACTION = 0.5
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-VOCABULARY = sorted({w for _, _, text in TEMPLATES for w in text.split()})
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a fixed value."""
+    return re.split(NOT_WORD, text.lower().strip("()\"'. "))
+
+
+def _find(body: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+
+
+#: Of each template: label, words, and the mandatory words as (place, word).
+BODIES = [(label, words_of(text)) for label, _, text in TEMPLATES]
+MUST = [
+    sorted({(_find(body, k.split()) + n, w) for k in keys for n, w in enumerate(k.split())})
+    for (_, keys, _), (_, body) in zip(TEMPLATES, BODIES, strict=True)
+]
+#: Words of phrases: the index has postings of these.
+INDEXED = sorted({w for must in MUST for _, w in must} | {w for p in PHRASES for w in p.split()})
 
 
 def normalise(text: Column) -> Column:
@@ -88,44 +182,34 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(whole, NOT_WORD, " "))
 
 
-def _at(words: Column, i: Column, wanted: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(wanted)))
+def _features(docs: DataFrame) -> DataFrame:
+    norm = docs.select("doc_id", normalise(F.col("text")).alias("norm"))
 
+    def per_text(words: Column) -> Column:
+        # (word, place) of indexed words only; all words of a phrase are indexed, so it is a run of postings
+        posted = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(INDEXED), F.struct(w.alias("w"), i.alias("p")))))
+        return F.struct(posted.alias("hits"), F.size(words).cast("long").alias("n"), words.alias("words"))
 
-def _features(docs: DataFrame) -> DataFrame:
-    norm = docs.select(F.col("doc_id"), normalise(F.col("text")).alias("norm"))
-    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    holds = lambda p: padded.contains(f" {p} ")
-    flags = norm.select(
-        "doc_id",
-        "norm",
-        F.when(F.col("norm") == "", F.lit(0)).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        reduce(lambda a, b: a | b, map(holds, PHRASES)).alias("has_base"),
-        reduce(lambda a, b: a | b, (holds(key) for _, key, _ in TEMPLATES)).alias("has_key"),
-        F.array_compact(F.array(*(F.when(holds(p), F.lit(label)) for p, label in PHRASES.items()))).alias("labels"),
-    )
-    words = F.split("norm", " ")
-    starts = let(
-        words,
-        lambda w: F.filter(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), F.size(w) - 1),
-                    lambda i: F.array(*(F.when(_at(w, i, p.split()), i) for p in PHRASES)),
-                )
-            ),
-            lambda x: x.isNotNull(),
-        ),
-    )
-    present = F.array_intersect(words, F.array(*map(F.lit, VOCABULARY)))
-    return flags.select(
+    def stands(hits: Column, j: Column, start: Column, phrase: str) -> Column:
+        follows = [(F.get(hits, j + k)["w"] == w) & (F.get(hits, j + k)["p"] == start + k) for k, w in enumerate(phrase.split())]
+        return F.coalesce(reduce(lambda a, b: a & b, follows), F.lit(False))
+
+    def places(hits: Column) -> Column:
+        at = lambda x, j: F.array(*(F.when(stands(hits, j, x["p"], p), F.struct(F.lit(label).alias("label"), x["p"].alias("p"))) for p, label in PHRASES.items()))
+        return F.array_compact(F.flatten(F.transform(hits, at)))
+
+    split = norm.select("doc_id", F.when(F.col("norm") != "", let(F.split("norm", " "), per_text)).alias("x"))
+    found = split.select("doc_id", "x", F.array_distinct(F.col("x.hits.w")).alias("present"), let(F.col("x.hits"), places).alias("base"))
+    held = [F.size(F.array_intersect(F.array(*map(F.lit, sorted({w for _, w in must}))), F.col("present"))) == len({w for _, w in must}) for must in MUST]
+    whole = F.when(F.size("present") > 0, reduce(lambda a, b: a | b, held)).otherwise(False)
+    return found.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "n_words",
-        F.when(F.col("has_base"), starts).alias("starts"),
-        F.sort_array(F.array_distinct("labels")).alias("base"),
-        present.alias("present"),
-        F.when(F.col("has_key"), words).alias("words"),
+        F.coalesce("x.n", F.lit(0).cast("long")).alias("n_words"),
+        F.col("base.p").alias("starts"),
+        F.sort_array(F.array_distinct(F.col("base.label"))).alias("base"),
+        "present",
+        F.when(whole, F.struct("x.hits", "x.words")).alias("kept"),
     )
 
 
@@ -143,88 +227,78 @@ def scan(docs: DataFrame) -> DataFrame:
     features = table(_features(docs.select("doc_id", "text")), "license-words")
     spark = docs.sparkSession
     seen = features.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    frequency = {r["w"]: r["df"] for r in seen.collect()}  # at most one row for each word of the templates
-    posted = _postings(frequency)
-    rare = F.array(*map(F.lit, sorted({w for w, _, _ in posted})))
-    candidates = features.where("words is not null").select("row", "words")
-    found = candidates.select("row", F.posexplode("words").alias("p", "w")).where(F.array_contains(rare, F.col("w")))
+    posted = _postings({r["w"]: r["df"] for r in seen.collect()})  # at most one row for each indexed word
+    candidates = features.where("kept is not null").select("row", "kept.hits", "kept.words")
+    asked_for = sorted({w for w, _, _ in posted})
+    found = candidates.select("row", F.explode(F.filter("hits", lambda x: x["w"].isin(asked_for))).alias("x")).select("row", "x.w", "x.p")
     rows = [F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for w, t, q in posted]
     votes = found.join(F.broadcast(_rows(spark, rows)), "w").groupBy("row", "t", (F.col("p") - F.col("q")).alias("off")).agg(F.count("*").alias("votes"))
     asked = F.array(*(F.lit(sum(x == t for _, x, _ in posted)) for t in range(len(TEMPLATES))))
     offsets = votes.where(F.col("votes") == F.get(asked, F.col("t"))).select("row", "t", "off")
-    aligned = offsets.join(F.broadcast(_bodies(spark)), "t").join(candidates, "row")
-    word_at = lambda i: F.when(i >= 0, F.get("words", i))
-    agree = F.filter(F.transform("body", lambda w, q: word_at(F.col("off") + q) == w), lambda x: x)
-    share = F.size(agree) / F.size("body")
-    key_ok = F.forall(F.transform("key", lambda w, q: F.coalesce(word_at(F.col("off") + F.col("key_at") + q) == w, F.lit(False))), lambda x: x)
-    checked = aligned.select("row", "label", share.alias("share"), key_ok.alias("ok")).where(F.col("ok") & (F.col("share") >= MIN_FRACTION))
+    aligned = offsets.join(F.broadcast(_bodies(spark)), "t").join(candidates.select("row", "words"), "row")
+    at = lambda q: F.when(F.col("off") + q >= 0, F.get("words", F.col("off") + q))
+    must = F.forall("must", lambda m: F.coalesce(at(m["q"]) == m["w"], F.lit(False)))
+    agree = F.filter(F.transform("body", lambda w, q: at(q) == w), lambda x: x)
+    checked = aligned.where(must).select("row", "label", (F.size(agree) / F.size("body")).alias("share")).where(F.col("share") >= MIN_FRACTION)
     own = checked.groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
-    places = F.coalesce(F.size("starts"), F.lit(0))
-    n_base = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(places).cast("long")
+    none = F.array().cast("array<string>")
+    n_base = F.coalesce(F.size("starts"), F.lit(0)).cast("long")
+    n_base = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(n_base).cast("long")
+    base = F.coalesce("base", none)
     return features.join(own, "row", "left").select(
         "doc_id",
         "n_words",
         n_base.alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"),
         F.array_max("starts").cast("long").alias("last_word"),
-        F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, F.coalesce("own", none))), ",").alias("labels"),
         F.greatest(F.coalesce("share", F.lit(0.0)), F.when(n_base > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 
-def _find(body: list[str], key: list[str]) -> int:
-    return next(i for i in range(len(body)) if body[i : i + len(key)] == key)
-
-
 def _rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _postings(frequency: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(word, template, position) of the MIN_VOTES rarest words of each template's mandatory phrase."""
+    """(word, template, place) of the ASKED rarest words of each template's mandatory phrases."""
     posted = []
-    for t, (_, key, text) in enumerate(TEMPLATES):
-        phrase, body = key.split(), text.split()
-        at = _find(body, phrase)
-        rarest = sorted(range(len(phrase)), key=lambda q: (frequency.get(phrase[q], 0), phrase[q], q))[:MIN_VOTES]
-        posted += [(phrase[q], t, at + q) for q in rarest]
+    for t, must in enumerate(MUST):
+        rarest = sorted(must, key=lambda m: (frequency.get(m[1], 0), m[1], m[0]))[:ASKED]
+        posted += [(w, t, q) for q, w in rarest]
     return posted
 
 
 def _bodies(spark: SparkSession) -> DataFrame:
-    """One row a template: its label, words, mandatory phrase and where that stands."""
-    lit, many = F.lit, lambda x: F.array(*map(F.lit, x))
+    """One row a template: its label, words, and mandatory words with their places."""
     rows = []
-    for t, (label, key, text) in enumerate(TEMPLATES):
-        body, phrase = text.split(), key.split()
-        at = lit(_find(body, phrase))
-        rows.append(
-            F.struct(lit(t).alias("t"), lit(label).alias("label"), many(body).alias("body"), many(phrase).alias("key"), at.alias("key_at"))
-        )
+    for t, ((label, body), must) in enumerate(zip(BODIES, MUST, strict=True)):
+        marks = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(w).alias("w")) for q, w in must))
+        rows.append(F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.array(*map(F.lit, body)).alias("body"), marks.alias("must")))
     return _rows(spark, rows)
 
 
 def _sql() -> str:
-    """DuckDB SQL for ``scan`` over ``documents``."""
-    rows = ", ".join(f"('{label}', string_split('{body}', ' '), string_split('{key}', ' '), {_find(body.split(), key.split())})" for label, key, body in TEMPLATES)
-    places = []
+    """DuckDB SQL for ``scan`` over ``documents``: phrase and share decide at every place, without an index."""
+    rows, seeds, places = [], [], []
+    for n, ((label, keys, _), (_, body)) in enumerate(zip(TEMPLATES, BODIES, strict=True)):
+        at = [_find(body, k.split()) for k in keys]
+        text = ", ".join(f"'{w}'" for w in body)
+        rows.append(f"('{label}', [{text}])")
+        same = " AND ".join(f"ws[i + {q + k + 1 - at[0]}] = '{w}'" for q, key in zip(at, keys, strict=True) for k, w in enumerate(key.split()))
+        seeds.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {same})) - {at[0]} AS off FROM d")
     for phrase, label in PHRASES.items():
         same = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
         places.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {same})) AS p FROM d")
-    agree = lambda what, at: f"len(list_filter(range(len({what})), lambda q: off + {at} + q >= 0 AND ws[off + {at} + q + 1] = {what}[q + 1]))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
-t(label, body, key, ka) AS (VALUES {rows}),
-post AS (SELECT label, unnest(body) AS w, unnest(range(len(body))) AS q FROM t),
-occ AS (SELECT r, w, p FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d) WHERE w IN (SELECT w FROM post)),
-df AS (SELECT w, count(DISTINCT r) AS n FROM occ GROUP BY w),
-rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM occ) JOIN df USING (w)) WHERE k <= {RARE}),
-votes AS (SELECT r, label, p - q AS off, count(*) AS c FROM occ JOIN rare USING (r, w) JOIN post USING (w) GROUP BY ALL HAVING c >= {MIN_VOTES}),
-aligned AS (SELECT r, label, {agree("body", "0")} / len(body) AS share, {agree("key", "ka")} = len(key) AS ok
-  FROM votes JOIN t USING (label) JOIN d USING (r)),
-own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM aligned WHERE ok AND share >= {MIN_FRACTION} GROUP BY r),
+t(label, body) AS (VALUES {", ".join(rows)}),
+seed AS ({" UNION ALL ".join(seeds)}),
+aligned AS (SELECT r, label, len(list_filter(range(len(body)), lambda q: off + q >= 0 AND ws[off + q + 1] = body[q + 1])) / len(body) AS share
+  FROM seed JOIN t USING (label) JOIN d USING (r)),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM aligned WHERE share >= {MIN_FRACTION} GROUP BY r),
 place AS ({" UNION ALL ".join(places)}),
 base AS (SELECT r, count(*) AS n, min(p) AS a, max(p) AS b, list(DISTINCT label) AS labels FROM place GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
