@@ -10,14 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or in our own where it is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset and everything runs in this process, a folder of our own;
+    on a cluster that would scatter a table over the machines, so it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="foldspark-"))
-        found = _own[0]
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="foldspark-"))
+    return _own[0]
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
