@@ -3,7 +3,8 @@
 Every round is two groupings by minimum (combined before the shuffle) and two
 equi-joins, so a hub that holds a third of all links is split by adaptive
 execution instead of landing in one task.  Nothing but two counters per round
-reaches the driver.  Rounds are cut by tables in the shared folder.
+reaches the driver.  Rounds are cut by tables in the shared folder; a round's
+tables go when the next one's are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import drop, table
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -47,7 +48,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             .unionByName(low.select("v", F.col("m").alias("p")))
             .distinct()
         )
-        edges = table(small, "small-star")
+        old, edges = edges, table(small, "small-star")
+        drop(old, large)
         after = _signature(edges)
         if after == before:
             break

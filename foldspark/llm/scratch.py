@@ -1,42 +1,80 @@
-"""Tables that cut lineage, in the folder the cluster shares.
+"""Tables that cut lineage, in the folder the cluster shares, and what Python workers hold.
 
-``spark.checkpoint.dir`` names that folder; it is read from the session.  Only
-where it is unset (local tests) a folder of our own is made.  A written table
-survives the loss of any executor, and the files are compressed, which
-``checkpoint()`` files are not.
+``spark.checkpoint.dir`` names that folder; it is read from the session.  A
+written table survives the loss of any executor, and the files are compressed,
+which ``checkpoint()`` files are not.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-_own: list[str] = []
+from ..sources.staging import discard, shared_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="foldspark-"))
-    return _own[0]
+#: Bytes of texts that a step of a worker takes at once; a longer text is taken alone.
+STEP = 4 << 20
+#: Bytes of results after which a step hands them on.
+HAND_ON = 4 << 20
+#: Bytes of a row group of a table.
+ROW_GROUP = 16 << 20
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, label)
+    # small row groups: a writer holds one in memory, and what is written is read by many tasks
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``table`` wrote, once no plan in use reads it."""
+    for t in tables:
+        discard(t.sparkSession, t.scratch_path)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` over a partition, giving memory back when it ends: an idle worker lives on and keeps what it has."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
+def sliced(batches: Batches, column: str, most: int = STEP) -> Batches:
+    """The batches in slices that hold at most ``most`` bytes of a text or binary column, one row at least."""
+    for batch in batches:
+        if not len(batch):
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def parts(spark: SparkSession) -> int:
@@ -58,14 +96,14 @@ def squeezed(df: DataFrame, column: str) -> DataFrame:
     """``df`` with a binary column compressed row by row, for texts that are about to be shuffled."""
     at = df.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         pack = zstandard.ZstdCompressor(level=6).compress
-        for batch in batches:
+        for batch in sliced(batches, column):
             made = [pack(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(at)]
             columns = [*batch.columns[:at], pa.array(made, pa.binary()), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def unsqueezed(column: pa.Array) -> Iterator[bytes | None]:
