@@ -4,7 +4,7 @@ A window is ``length`` consecutive words; a word goes if a window over it
 starts earlier elsewhere, by (doc_id, start).
 
 1. Exact copies collapse: only the first document of each word sequence is
-   looked at, later ones lose every window.
+   looked at, later ones lose every window.  Their anchors are not counted.
 2. Each window has an anchor, the least hash of its runs of ``ANCHOR`` words.
    Equal windows have equal anchors, about one window in eight changes it, and
    only anchors that occur twice can belong to a repeated window.
@@ -15,9 +15,10 @@ starts earlier elsewhere, by (doc_id, start).
    automaton of what came before.  Streaming a stretch through it gives the
    matching statistics: the longest suffix at each word that was there before.
    Where that reaches ``length`` the window has an earlier occurrence.
-5. Anchors in more than ``FREQUENT`` documents would make large shards.  Their
-   windows are dealt one by one, by their own hash, after equal windows of the
-   same batch have been settled on the spot; no group of rows gets large.
+5. Anchors in more than ``FREQUENT`` texts would make large shards.  Their
+   windows are dealt one by one, by their own hash, after equal windows that the
+   same task saw in an earlier document have been settled on the spot; a window
+   goes out once a task at most, as long as the task remembers it.
 6. Overlapping windows join to maximal spans, which are cut from the documents.
 
 The automata are dealt, not broadcast: what repeats in a corpus grows with it,
@@ -36,13 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from .scratch import packed, parts, squeezed, table, unsqueezed, with_row
+from .scratch import HAND_ON, Batches, lean, packed, parts, sliced, squeezed, table, unsqueezed, with_row
 
 LENGTH = 20
 ANCHOR = 6
 FREQUENT = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1  # rows without a doc_id come after all others
+#: Compressed bytes of texts that a step takes at once.
+_PACKED = 1 << 20
+#: Windows that a task remembers at least.
+_SEEN = 50_000
 
 
 class SuffixAutomaton:
@@ -146,8 +151,8 @@ def tag_of(digest: bytes) -> int:
 
 
 def _list_anchors(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches, "_text"):
             keys, sizes, lists = [], [], []
             for text in batch.column("_text"):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []  # bytes.split() is [\x20\x09-\x0D]
@@ -161,62 +166,95 @@ def _list_anchors(length: int):
             columns = [batch.column("_ord"), pa.array(keys, pa.binary()), tags, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
             yield pa.RecordBatch.from_arrays(columns, ["_ord", "_key", "_tag", "_size", "anchors"])
 
-    return run
+    return lean(run)
+
+
+class Seen:
+    """What a task saw before; forgets what it was not asked for of late."""
+
+    def __init__(self):
+        self.young, self.old = set(), set()
+
+    def __contains__(self, x: bytes) -> bool:
+        if x in self.young:
+            return True
+        if x in self.old:
+            self.add(x)
+            return True
+        return False
+
+    def add(self, x: bytes) -> None:
+        if len(self.young) >= _SEEN:
+            self.old, self.young = self.young, set()
+        self.young.add(x)
 
 
 _STRETCH = "route long, ord long, tag long, start int, count int, body binary"
 
 
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _rows(out: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+
 def _stretches(length: int):
-    """Documents with their repeated anchors to stretches of windows; windows settled on the spot have no body."""
+    """Documents, by (_ord, _tag), with their repeated anchors to stretches of windows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            orders, tags = (batch.column(c).to_pylist() for c in ("_ord", "_tag"))
-            texts, found = batch.column("_text"), batch.column("_found")
-            seen: set[bytes] = set()
-            out: list[tuple] = []
-            done = None
-            for order, tag, at in sorted(zip(orders, tags, range(len(batch)), strict=True)):
-                words = (next(unsqueezed(texts.slice(at, 1))) or b"").split()
+    Windows settled on the spot have no body.
+    """
+    names = ["route", "ord", "tag", "start", "count", "body"]
+
+    def of_text(order: int, tag: int, words: list[bytes], frequent: dict[int, bool], seen: Seen) -> Iterator[tuple]:
+        anchor = anchors_of(words, length)
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)])).tolist()
+        settled: list[tuple[int, int]] = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            value = int(anchor[a])
+            if value not in frequent:
+                continue
+            for s, e in ((i, i + 1) for i in range(a, b)) if frequent[value] else ((a, b),):
+                body = b" ".join(words[s : e + length - 1])
+                print_ = xxhash.xxh3_128_digest(body)
+                if print_ in seen and settled and settled[-1][1] == s:
+                    settled[-1] = (settled[-1][0], e)
+                elif print_ in seen:
+                    settled.append((s, e))
+                else:
+                    seen.add(print_)
+                    yield (xxhash.xxh3_64_intdigest(body) >> 1 if frequent[value] else value), order, tag, s, e - s, body
+        aside = xxhash.xxh3_64_intdigest(b"%d %d" % (order, tag)) >> 1  # by document: no shard has to see these
+        for s, e in settled:
+            yield aside, order, tag, s, e - s, None
+
+    def run(batches: Batches) -> Batches:
+        seen, done, out, held = Seen(), None, [], 0
+        for batch in sliced(batches, "_text", _PACKED):
+            orders, tags, found = batch.column("_ord").to_pylist(), batch.column("_tag").to_pylist(), batch.column("_found")
+            for at, text in enumerate(unsqueezed(batch.column("_text"))):
+                order, tag, words = orders[at], tags[at], (text or b"").split()
                 if (order, tag) == done or tag_of(digest_of(words)) != tag:
                     continue  # a repeated row, or another text under the same doc_id
                 done = (order, tag)
-                anchor = anchors_of(words, length)
-                frequent = {x["anchor"]: x["frequent"] for x in found[at].as_py()}
-                edge = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)])).tolist()
-                settled: list[tuple[int, int]] = []
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    value = int(anchor[a])
-                    if value not in frequent:
-                        continue
-                    for s, e in [(i, i + 1) for i in range(a, b)] if frequent[value] else [(a, b)]:
-                        body = b" ".join(words[s : e + length - 1])
-                        print_ = xxhash.xxh3_128_digest(body)
-                        if print_ in seen and settled and settled[-1][1] == s:
-                            settled[-1] = (settled[-1][0], e)
-                        elif print_ in seen:
-                            settled.append((s, e))
-                        else:
-                            seen.add(print_)
-                            route = xxhash.xxh3_64_intdigest(body) >> 1 if frequent[value] else value
-                            out.append((route, order, tag, s, e - s, body))
-                aside = xxhash.xxh3_64_intdigest(b"%d %d" % (order, tag)) >> 1  # by document: no shard has to see these
-                out += [(aside, order, tag, s, e - s, None) for s, e in settled]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            names = ["route", "ord", "tag", "start", "count", "body"]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
-
-    return run
+                for row in of_text(order, tag, words, {x["anchor"]: x["frequent"] for x in found[at].as_py()}, seen):
+                    out.append(row)
+                    held += 200 + len(row[-1] or b"")
+                    if held > HAND_ON:
+                        yield _rows(out, _KINDS, names)
+                        out, held = [], 0
+        yield _rows(out, _KINDS, names)
+
+    return lean(run)
 
 
 def _repeated(length: int):
     """Stretches sorted by (route, ord, tag, start) to spans (ord, tag, first word, end) that are to go."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         route, automaton, before = None, None, None
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("route", "ord", "tag", "start", "count", "body")]
             for to, order, tag, start, count, body in zip(*columns, strict=True):
@@ -238,16 +276,14 @@ def _repeated(length: int):
                         first = None
                 if first is not None:
                     out.append((order, tag, start + first - length + 1, start + count + length - 1))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["ord", "tag", "s", "e"])
+            yield _rows(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["ord", "tag", "s", "e"])
 
-    return run
+    return lean(run)
 
 
 def _cut(normalise: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches, "_text", _PACKED):
             texts, sizes, removed = [], [], []
             for raw, cuts in zip(unsqueezed(batch.column("_text")), batch.column("_cuts"), strict=True):
                 words = (raw or b"").split()
@@ -267,7 +303,7 @@ def _cut(normalise: bool):
             made = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *made], ["row", "text", "n_words", "n_removed"])
 
-    return run
+    return lean(run)
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -277,12 +313,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     listed = table(docs.mapInArrow(_list_anchors(length), kind), "anchors")
     long = listed.where(F.col("_size") >= length)
     firsts = table(long.groupBy("_key").agg(F.min("_ord").alias("first"), F.min("_tag").alias("_tag")), "first-copies")
-    entries = listed.select("_ord", F.explode("anchors").alias("anchor"))
+    # of copies only the first is counted; the key and the order together, so that a text with many copies is no hot key
+    first = long.join(firsts.select("_key", F.col("first").alias("_ord")), ["_key", "_ord"], "left_semi")
+    entries = first.select("_ord", F.explode("anchors").alias("anchor"))
     counted = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > FREQUENT).alias("frequent"))
     own = entries.join(counted, "anchor").groupBy("_ord").agg(F.collect_set(F.struct("anchor", "frequent")).alias("_found"))
     found = own.join(firsts, own["_ord"] == firsts["first"]).select(F.col("first").alias("_at"), "_tag", "_found")
-    lean = squeezed(docs.where("_text is not null").select("_ord", "_text"), "_text")
-    texts = lean.join(found, lean["_ord"] == found["_at"]).select("_ord", "_tag", "_found", "_text")
+    small = squeezed(docs.where("_text is not null").select("_ord", "_text"), "_text")
+    texts = small.join(found, small["_ord"] == found["_at"]).select("_ord", "_tag", "_found", "_text").sortWithinPartitions("_ord", "_tag")
     dealt = texts.mapInArrow(_stretches(length), _STRETCH).repartition(n, "route").sortWithinPartitions("route", "ord", "tag", "start")
     cuts = dealt.mapInArrow(_repeated(length), "ord long, tag long, s int, e int")
     cuts = cuts.groupBy("ord", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
