@@ -7,13 +7,15 @@ the prefix before it.  So ``count[i] = count[i - len(last[i])] + 1``.  A text's
 prefix is its whole pre-tokens before the cut and one prefix of a pre-token, so
 counts at every prefix, cuts to a budget and limits come from stored sums
 without encoding anything again.
+
+``count_tokens`` needs the last entry of each table alone and keeps no more;
+``prefix_tables`` stores them, and ``truncate`` answers budgets from them.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,9 +24,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens, and pairs of neighbours, that a worker remembers before it forgets them all.
-MEMO = 500_000
+from .memo import Memo
+from .scratch import STEP, Batches, lean, sliced
+
+#: Pairs of neighbours that a worker remembers before it forgets them all.
 PAIRS = 1_000_000
+#: Bytes of totals that a worker remembers.
+TOTALS = 48 << 20
+#: Pre-tokens of more characters have the counts of all their prefixes stored.
+LONG = 32
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -50,10 +58,11 @@ class PrefixCounter:
         library = tiktoken.Encoding("pairs", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
         self._merge = library._encode_single_piece
         self.pieces = regex.compile(PATTERN).findall
+        self.specials = set(special)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._rows: dict[bytes, dict[bytes, bool]] = {}  # by the left token, what may follow it
         self._known = 0
-        self._totals: dict[str, int] = {}
+        self.totals = Memo(lambda piece: self.prefixes(piece.encode())[-1], TOTALS)  # tokens of a whole pre-token
 
     def _stays(self, row: dict[bytes, bool], left: bytes, right: bytes) -> bool:
         """Whether ``right`` is a token that the merges leave apart from the token ``left`` before it."""
@@ -93,16 +102,16 @@ class PrefixCounter:
             near[i] = row
         return count
 
-    def total(self, piece: str) -> int:
-        """Tokens of a whole pre-token: the last entry of its prefixes."""
-        n = self._totals.get(piece)
-        if n is None:
-            n = self.prefixes(piece.encode())[-1]
-            if len(piece) <= 64:
-                if len(self._totals) >= MEMO:
-                    self._totals.clear()
-                self._totals[piece] = n
-        return n
+    def by_chars(self, piece: str) -> list[int]:
+        """Tokens of ``piece[:i]`` for every number of characters."""
+        counts = self.prefixes(piece.encode())
+        if len(counts) == len(piece) + 1:
+            return counts
+        at, out = 0, [0]
+        for c in piece:
+            at += len(c.encode())
+            out.append(counts[at])
+        return out
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """The text as stretches of ordinary text and special tokens (True)."""
@@ -116,54 +125,107 @@ class PrefixCounter:
         return out + ([(text[at:], False)] if at < len(text) else [])
 
     def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.total, self.pieces(part))) for part, special in self.parts(text))
+        return sum(1 if special else sum(map(self.totals.__getitem__, self.pieces(part))) for part, special in self.parts(text))
 
     def table(self, text: str) -> PrefixTable:
-        return PrefixTable(self, text)
+        return PrefixTable.of(self, text)
+
+
+SPACE = regex.compile(r"\s").match
 
 
 class PrefixTable:
-    """Token counts of one text at the end of each pre-token; answers for any prefix."""
+    """Token counts of one text at the end of each pre-token, and at every prefix of the long ones.
+
+    ``ends`` and ``sums`` begin with 0; ``inner`` has the counts by characters
+    of pre-tokens of more than ``LONG``, by number from 1.
+    """
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, ends: list[int], sums: list[int], inner: dict[int, list[int]]):
         self.counter, self.text = counter, text
-        self.ends, self.sums = [0], [0]
+        self.ends, self.sums, self.inner = ends, sums, inner
+
+    @classmethod
+    def of(cls, counter: PrefixCounter, text: str) -> PrefixTable:
+        ends, sums, inner = [0], [0], {}
         for part, special in counter.parts(text):
             for piece in [part] if special else counter.pieces(part):
-                self.ends.append(self.ends[-1] + len(piece))
-                self.sums.append(self.sums[-1] + (1 if special else counter.total(piece)))
+                if special or len(piece) <= LONG:
+                    n = 1 if special else counter.totals[piece]
+                else:
+                    inner[len(ends)] = counts = counter.by_chars(piece)
+                    n = counts[-1]
+                ends.append(ends[-1] + len(piece))
+                sums.append(sums[-1] + n)
+        return cls(counter, text, ends, sums, inner)
+
+    def _piece(self, n: int) -> str:
+        return self.text[self.ends[n - 1] : self.ends[n]]
+
+    def _special(self, n: int) -> bool:
+        """Whether pre-token n, from 1, is a special token."""
+        return 0 < n < len(self.ends) and self._piece(n) in self.counter.specials
+
+    def _blank(self, n: int) -> bool:
+        """Whether pre-token n is white space; one that ends in it is nothing else."""
+        return n > 0 and SPACE(self.text, self.ends[n] - 1) is not None
+
+    def _inside(self, n: int, chars: int) -> int:
+        """Tokens of the first ``chars`` characters of pre-token n, taken as one."""
+        if n not in self.inner:
+            self.inner[n] = self.counter.by_chars(self._piece(n))
+        return self.inner[n][chars]
 
     def at(self, chars: int) -> int:
         """Tokens of ``text[:chars]``.
 
-        Cutting can move pre-token boundaries only within the white space that
-        ends before the cut and within the piece that is cut, so only those few
-        characters are looked at again.
+        A prefix of a pre-token is one pre-token, but for three cases.  White
+        space that ends the prefix is one pre-token, from where it begins.  A
+        special token that is cut becomes ordinary text, to which the marks or
+        white space before it can belong.  A contraction that is cut falls apart.
         """
-        n = bisect_left(self.ends, chars)
-        if self.ends[n] == chars and (chars == len(self.text) or not self.text[:chars][-1:].isspace()):
-            return self.sums[n]
-        n -= 1
-        while n and self.text[self.ends[n] - 1].isspace():
-            n -= 1
-        return self.sums[n] + self.counter.count(self.text[self.ends[n] : chars])
+        ends, sums, text = self.ends, self.sums, self.text
+        n = bisect_left(ends, chars)
+        if chars in (0, len(text)):
+            return sums[n]
+        if ends[n] != chars and self._special(n):
+            m = n - 1
+            while m and self._blank(m) and not self._special(m):
+                m -= 1
+            m -= m > 0 and not self._special(m)
+            return sums[m] + self.counter.count(text[ends[m] : chars])
+        if SPACE(text, chars - 1):
+            m = n - 1
+            while m and self._blank(m):
+                m -= 1
+            if chars <= ends[m + 1]:
+                return sums[m] + self._inside(m + 1, chars - ends[m])
+            return sums[m] + self.counter.totals[text[ends[m] : chars]]
+        if ends[n] == chars:
+            return sums[n]
+        if text[ends[n - 1]] == "'":
+            return sums[n - 1] + self.counter.count(text[ends[n - 1] : chars])
+        return sums[n - 1] + self._inside(n, chars - ends[n - 1])
 
     def fit(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens.
 
-        Counts do not quite rise with the prefix (a cut can cost a token), so
-        every prefix from the last pre-token that surely fits on is asked.
+        Sums rise with every pre-token, so the cut lies in the first one that
+        does not fit as a whole, in the white space that goes on after it, or in
+        a special token near it.  Counts do not rise with every character of
+        these, so all of them are asked.
         """
-        best = 0
-        for n in range(len(self.ends)):
-            if self.at(self.ends[n]) <= budget:
-                best = max(best, self.ends[n])
-            elif self.sums[n] > budget + 8:
-                break
-        for chars in range(best + 1, min(len(self.text), best + 4 * self.counter.longest) + 1):
-            if self.at(chars) <= budget:
-                best = chars
-        return best
+        ends = self.ends
+        whole = bisect_right(self.sums, budget) - 1
+        last = len(ends) - 1
+        if whole in (-1, last):
+            return max(0, ends[whole]) if whole >= 0 else 0
+        to = ends[whole + 1]
+        to += to < len(self.text) and self._blank(whole + 1) and SPACE(self.text, to) is not None
+        for m in (whole + 2, whole + 3):
+            if self._special(m):
+                to = ends[m]
+        return next((chars for chars in range(to, ends[whole], -1) if self.at(chars) <= budget), ends[whole])
 
 
 @lru_cache(maxsize=2)
@@ -180,48 +242,72 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         counter = _load(path)
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             counts = [counter.count(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(docs["text"], F.lit(""))
     picked = docs.select(docs["doc_id"].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return picked.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+_TABLE = "ends array<int>, sums array<int>, inner array<struct<piece:int,counts:array<int>>>"
+_INNER = pa.list_(pa.struct([("piece", pa.int32()), ("counts", pa.list_(pa.int32()))]))
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ends array<int>, sums array<int>): characters and tokens up to the end of each pre-token, from 0.
+    """(doc_id, ends, sums, inner): characters and tokens up to the end of each pre-token, from 0.
 
-    The stored form of ``PrefixTable``: a budget is answered by a search in
-    ``sums``.  A null or empty text has one entry, 0.
+    The stored form of ``PrefixTable``.  ``inner`` has the counts of every
+    prefix of pre-tokens of more than ``LONG`` characters.  A null or empty text
+    has one entry, 0.  Repeated rows and null doc_ids come back as they are;
+    other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         counter = _load(path)
-        for batch in batches:
+        for batch in sliced(batches, "_text", STEP // 8):  # tables are larger than texts
             made = [counter.table(t.as_py()) for t in batch.column("_text")]
-            ends, sums = ([getattr(x, k) for x in made] for k in ("ends", "sums"))
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (ends, sums)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "ends", "sums"])
+            lists = [pa.array([getattr(x, k) for x in made], pa.list_(pa.int32())) for k in ("ends", "sums")]
+            inner = pa.array([[{"piece": n, "counts": c} for n, c in x.inner.items()] for x in made], _INNER)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, inner], ["doc_id", "ends", "sums", "inner"])
 
     picked = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, ends array<int>, sums array<int>")
+    return picked.mapInArrow(lean(run), f"doc_id {kind}, {_TABLE}")
 
 
-def truncate(docs: DataFrame, path: str, budget: int) -> DataFrame:
-    """(doc_id, text): the longest prefix of each text that has at most ``budget`` tokens."""
+def truncate(docs: DataFrame, path: str, budget: int, tables: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): the longest prefix of each text that has at most ``budget`` tokens.
+
+    With ``tables``, those that ``prefix_tables`` made of the same documents,
+    nothing is encoded again; they are found by doc_id, which then must be
+    unique, and a row without one (a null doc_id) is counted anew.  A null text
+    is an empty one and comes back empty, as every text does at a budget of 0.
+    Repeated rows and null doc_ids come back as they are; other columns are
+    ignored.
+    """
+    stored = tables is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         counter = _load(path)
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("_text")]
-            cut = [t[: counter.table(t).fit(budget)] for t in texts]
+        for batch in sliced(batches, "_text", STEP // 8):
+            cut = []
+            for n, t in enumerate(batch.column("_text")):
+                text = t.as_py()
+                if stored and (ends := batch.column("ends")[n].as_py()) is not None:
+                    inner = {x["piece"]: x["counts"] for x in batch.column("inner")[n].as_py()}
+                    table = PrefixTable(counter, text, ends, batch.column("sums")[n].as_py(), inner)
+                else:
+                    table = counter.table(text)
+                cut.append(text[: table.fit(budget)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], ["doc_id", "text"])
 
     picked = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, text string")
+    if stored:
+        picked = picked.join(tables.select("doc_id", "ends", "sums", "inner"), "doc_id", "left")
+    return picked.mapInArrow(lean(run), f"doc_id {kind}, text string")

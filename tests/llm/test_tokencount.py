@@ -44,11 +44,41 @@ def test_prefixes_of_a_piece(counter, library):
 
 
 def test_fit(counter, library):
-    text = "The quick brown fox doesn't   jump\n\nover unbelievably lazy dogs 漢字 " * 3
-    for budget in (0, 1, 5, 17, 40, 1000):
-        n = counter.table(text).fit(budget)
+    """Against every cut of the text, by the library."""
+    rng = random.Random(8)
+    texts = ["The quick brown fox doesn't   jump\n\nover unbelievably lazy dogs 漢字 " * 2, "we're 'll 're x", "!!<|endoftext|>!!  <|endoftext|>\n"]
+    texts += [" " * 90 + "a" + " " * 40, "\n" * 70 + "b", "internationalization" * 9, "0123456789" * 20, "漢字かな" * 15, "a" * 150, "=" * 130 + "<|endoftext|>"]
+    texts += ["".join(rng.choice(["ab", " ", "  ", "\n", "!", "'re", "'", "12", "漢", "<|endoftext|>", "<|", "é", "ing"]) for _ in range(40)) for _ in range(25)]
+    for text in texts:
+        counts = [count(library, text[:m]) for m in range(len(text) + 1)]
+        table = counter.table(text)
+        assert [table.at(m) for m in range(len(text) + 1)] == counts, text
+        for budget in sorted({0, 1, 2, 5, 17, counts[-1] - 1, counts[-1], counts[-1] // 2, 1000}):
+            want = max((m for m, n in enumerate(counts) if n <= budget), default=0)
+            assert table.fit(budget) == want, (text, budget)
+
+
+@pytest.mark.parametrize("text", ["a" * 20000, "0123456789" * 600, "internationalization" * 500, "漢字かな" * 2000, " " * 20000 + "x", "=-" * 9000])
+def test_fit_in_a_long_piece(counter, library, text):
+    table = counter.table(text)
+    for budget in (1, 128, 512):
+        n = table.fit(budget)
         assert count(library, text[:n]) <= budget
-        assert n == len(text) or all(count(library, text[:m]) > budget for m in range(n + 1, len(text) + 1))
+        assert n == len(text) or all(count(library, text[:m]) > budget for m in range(n + 1, min(len(text), n + 40) + 1))
+    assert table.fit(10**6) == len(text)
+
+
+def test_stored_tables(spark, counter):
+    texts = [*ODD, "a" * 3000, "  ".join(["internationalization" * 9, "0123456789" * 20, " " * 99]), "don't " * 200]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "a b c d e f g h", 1), (77, None, 1)], "doc_id long, text string, sums int")
+    tables = tokencount.prefix_tables(docs, PATH)
+    plain = sorted(map(tuple, tokencount.truncate(docs, PATH, 7).collect()), key=str)
+    stored = sorted(map(tuple, tokencount.truncate(docs, PATH, 7, tables).collect()), key=str)
+    want = [(r.doc_id, (r.text or "")[: counter.table(r.text or "").fit(7)]) for r in docs.collect()]
+    assert plain == stored == sorted(want, key=str)
+    kept = {r.doc_id: r for r in tables.collect()}
+    assert [len(x.counts) for x in kept[len(ODD)].inner] == [3001]
+    assert tokencount.truncate(docs.limit(0), PATH, 7).count() == 0
 
 
 def test_tables(spark, library):
