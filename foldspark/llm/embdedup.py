@@ -2,16 +2,21 @@
 
 1. Equal vectors collapse into one class with its count.  Each length of
    vectors is then indexed and searched by itself.
-2. Coarse centroids and residual codebooks are fitted on a bounded sample of
-   ``SAMPLE`` classes, taken by hash; every class is then indexed.
-3. A class is stored in the list of its nearest centroid, with the codes of
+2. Coarse centroids, a shared second level of residual centroids and residual
+   codebooks are fitted on a sample bounded by rows and bytes, taken by hash;
+   every class is then indexed.  A list is a pair of centroids, one of each
+   level, so that the number of lists grows with the square root of the classes
+   beyond what the sample could fit at once.
+3. A class is stored in the list of its nearest centroids, with the codes of
    its residual and the length of what the codes miss.
 4. Each class probes the lists that can hold a partner.  A partner lies within
    ``r`` (the distance of unit vectors at the threshold) and on the list's side
-   of the bisector between the two centroids.  The part of a displacement of
-   length ``r`` that points across one bisector has a deviation of r / sqrt(d)
-   over all directions; a list is probed if its side is at most ``REACH``
-   deviations away, which is ``r`` itself in few dimensions.
+   of the bisector between the two centroids.  What part of a displacement can
+   point across a bisector depends on the data: 1 / sqrt(d) or so where vectors
+   differ in all directions, all of it where they lie in few dimensions.  It is
+   measured on the sample, between the displacements to its nearest neighbours
+   and the directions to its nearest centroids; a list is probed if its side is
+   at most that far away.  ``reach=1`` probes every list that can hold a partner.
 5. In a list, asymmetric table look-ups give the distance to each member's
    codes.  A partner's is at most ``r`` plus what its codes miss; the rest is
    dropped (this loses no partner), and the exact cosine in double precision
@@ -22,8 +27,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import parts, table
+from .scratch import Batches, lean, parts, table
 from .simhash import forest
 
 THRESHOLD = 0.95
-#: Classes the model is fitted on, at most.
-SAMPLE = 32_768
+#: Classes the model is fitted on, at most, and their bytes in double precision.
+SAMPLE, SAMPLE_BYTES = 32_768, 64 << 20
+#: Centroids of the first level and of the second, at most.
+COARSE, FINE = 2048, 32
 SUBSPACES = 8
 #: Members and queries of one task step, at most.
 TILE, BLOCK = 4096, 4096
-#: Deviations within which a list is probed.
-REACH = 3.0
+#: Share of the measured directions that the fitted reach covers.
+COVERED = 0.999
 #: Room for rounding in single precision.
 SLACK = 1e-3
 
@@ -66,38 +71,88 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _beyond(x: np.ndarray, own: np.ndarray, centres: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """How far each row would have to move to get to each centroid's side of the bisector with its own."""
+    square = (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
+    rows = np.arange(len(x))
+    out = (square - square[rows, own][:, None]) / (2 * apart[own])
+    out[rows, own] = 0
+    return out
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    square = (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres @ centres.T, 1e-12))
+
+
 class Model:
-    """Coarse centroids and codebooks of residuals."""
+    """Centroids of two levels and codebooks of residuals."""
 
-    def __init__(self, sample: np.ndarray, classes: int, threshold: float):
+    def __init__(self, sample: np.ndarray, classes: int, threshold: float, reach: float | None = None):
         x = unit(sample)
         self.radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-        self.reach = min(1.0, REACH / np.sqrt(x.shape[1])) * self.radius
-        self.coarse = kmeans(x, max(1, min(len(x) // 16, round(2 * np.sqrt(classes)))))
-        residual = x - self.coarse[_nearest(x, self.coarse)]
+        wanted = max(1, round(2 * np.sqrt(classes)))
+        self.coarse = kmeans(x, max(1, min(len(x) // 16, wanted, COARSE)))
+        own = _nearest(x, self.coarse)
+        residual = x - self.coarse[own]
+        self.fine = kmeans(residual, min(FINE, -(-wanted // len(self.coarse)))) if wanted > COARSE else np.zeros((1, x.shape[1]))
+        residual = residual - self.fine[_nearest(residual, self.fine)]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [kmeans(residual[:, cut], min(256, len(x))) for cut in self.cuts]
-        square = (self.coarse**2).sum(axis=1)
-        self.apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * self.coarse @ self.coarse.T, 1e-12))
+        self.apart, self.fine_apart = _apart(self.coarse), _apart(self.fine)
+        self.reach = self.radius * (self._fitted(x) if reach is None else min(1.0, reach))
+
+    def _fitted(self, x: np.ndarray) -> float:
+        """The part of a displacement that points across a bisector, in all but a few cases; 1 where the sample is too small to tell."""
+        if len(x) < 64 or len(self.coarse) < 2:
+            return 1.0
+        ask = x[:1024]
+        near = ((x[:8192] ** 2).sum(axis=1)[None, :] - 2 * ask @ x[:8192].T).argpartition(8, axis=1)[:, :9]
+        moves = x[near] - ask[:, None, :]
+        size = np.sqrt((moves**2).sum(axis=2))
+        moves = moves / np.maximum(size, 1e-9)[:, :, None]
+        square = (self.coarse**2).sum(axis=1)[None, :] - 2 * (ask @ self.coarse.T)
+        others = np.argsort(square, axis=1)[:, :9]
+        towards = self.coarse[others[:, 1:]] - self.coarse[others[:, :1]]
+        towards /= np.maximum(np.sqrt((towards**2).sum(axis=2)), 1e-9)[:, :, None]
+        parts = np.abs(np.einsum("qmd,qcd->qmc", moves, towards))[size > 1e-6]
+        return float(min(1.0, np.quantile(parts, COVERED))) if parts.size >= 1000 else 1.0
+
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centre(self, number: int) -> np.ndarray:
+        first, second = divmod(number, len(self.fine))
+        return self.coarse[first] + self.fine[second]
 
     def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, length of what the codes miss) of unit vectors."""
-        own = _nearest(x, self.coarse)
-        residual = x - self.coarse[own]
+        first = _nearest(x, self.coarse)
+        residual = x - self.coarse[first]
+        second = _nearest(residual, self.fine)
+        residual = residual - self.fine[second]
         codes = np.stack([_nearest(residual[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
         missed = sum(((residual[:, c] - b[codes[:, m]]) ** 2).sum(axis=1) for m, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)))
-        return own, codes, np.sqrt(missed)
+        return first * len(self.fine) + second, codes, np.sqrt(missed)
 
     def probes(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for every list that can hold a partner of a row."""
-        square = (self.coarse**2).sum(axis=1)[None, :] - 2 * (x @ self.coarse.T)
-        beyond = (square - square[np.arange(len(x)), own][:, None]) / (2 * self.apart[own])
-        beyond[np.arange(len(x)), own] = 0
-        return np.nonzero(beyond <= self.reach)
+        """(row, list) for every list within reach of a row."""
+        row, first = np.nonzero(_beyond(x, own // len(self.fine), self.coarse, self.apart) <= self.reach)
+        if len(self.fine) == 1:
+            return row, first
+        rows, lists = [], []
+        for at in range(0, len(row), 8192):  # the same question once more, among the second level's centroids
+            r, c = row[at : at + 8192], first[at : at + 8192]
+            residual = x[r] - self.coarse[c]
+            i, second = np.nonzero(_beyond(residual, _nearest(residual, self.fine), self.fine, self.fine_apart) <= self.reach)
+            rows.append(r[i])
+            lists.append(c[i] * len(self.fine) + second)
+        return np.concatenate(rows), np.concatenate(lists)
 
     def candidates(self, query: np.ndarray, centre: int, codes: np.ndarray, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) pairs that the asymmetric distance cannot rule out."""
-        residual = query - self.coarse[centre]
+        residual = query - self.centre(centre)
         total = np.zeros((len(query), len(codes)), np.float32)
         for m, (cut, book) in enumerate(zip(self.cuts, self.books, strict=True)):
             part = residual[:, cut]
@@ -109,7 +164,7 @@ class Model:
 def _classes(kind: str):
     """Rows to (vec_id, key, vec): a valid vector's bytes in its own precision and their key, else null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             keys, raws = [], []
             for x in batch.column("embedding"):
@@ -137,7 +192,7 @@ _ROW = "list int, kind int, rep long, n long, vec binary, codes binary, missed d
 def _deal(model: Model, kind_of_vec: str):
     """Classes to member rows (kind 0) and one query row (kind 1) for each probed list."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
@@ -184,7 +239,7 @@ def _search(model: Model, threshold: float, kind_of_vec: str):
         moved = np.flatnonzero(root != np.arange(len(nodes)))
         return q_rep[hit], sums[hit], nodes[moved], nodes[root[moved]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         tile, members, held, done = None, None, [], False
         empty: list = []
 
@@ -224,22 +279,23 @@ def _search(model: Model, threshold: float, kind_of_vec: str):
     return run
 
 
-def _linked(classes: DataFrame, count: int, precision: str, threshold: float, sample: int) -> DataFrame:
+def _linked(classes: DataFrame, count: int, width: int, precision: str, threshold: float, sample: int, reach: float | None) -> DataFrame:
     """(_key, links, component) of ``count`` classes of one length."""
-    taken = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()  # bounded by ``sample``
-    model = Model(np.stack([np.frombuffer(r["vec"], precision) for r in taken]), count, threshold)
-    dealt = table(classes.select("rep", "n", "vec").mapInArrow(_deal(model, precision), _ROW), "vector-lists")
-    sizes = {(r["list"], r["kind"]): r["count"] for r in dealt.groupBy("list", "kind").count().collect()}  # two rows a centroid
-    side = lambda kind, size: F.array(*(F.lit(-(-sizes.get((c, kind), 0) // size) or 1) for c in range(len(model.coarse))))
-    tiles, blocks = side(0, TILE)[F.col("list")], side(1, BLOCK)[F.col("list")]
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("kind") == 0, tiles).otherwise(blocks)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    spread = dealt.withColumn("mine", mine).withColumn("other", F.explode(every(F.when(F.col("kind") == 0, blocks).otherwise(tiles))))
+    rows = max(1, min(sample, SAMPLE_BYTES // (8 * width)))
+    taken = classes.orderBy(F.xxhash64("key"), "key").limit(rows).select("vec").collect()  # bounded by rows and bytes
+    model = Model(np.stack([np.frombuffer(r["vec"], precision) for r in taken]), count, threshold, reach)
+    dealt = table(classes.select("rep", "n", "vec").mapInArrow(lean(_deal(model, precision)), _ROW), "vector-lists")
+    # tiles of members and blocks of queries; a row for each list that needs several, which the model bounds
+    sizes = dealt.groupBy("list").agg(*(F.ceil(F.sum((F.col("kind") == k).cast("int")) / size).cast("int").alias(name) for k, size, name in ((0, TILE, "tiles"), (1, BLOCK, "blocks"))))
+    long = F.broadcast(sizes.where("tiles > 1 or blocks > 1"))
+    known = dealt.join(long, "list", "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("tiles", "blocks")})
+    own, across = (F.when(F.col("kind") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("tiles", "blocks"), ("blocks", "tiles")))
+    spread = known.withColumn("mine", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
     member, query = (F.when(F.col("kind") == k, F.col("mine")).otherwise(F.col("other")) for k in (0, 1))
     tile = (F.col("list").cast("long") * 1_000_000 + member) * 1_000_000 + query
     spread = spread.select(tile.alias("tile"), "list", "kind", "rep", "n", "vec", "codes", "missed")
     found = spread.repartition(parts(classes.sparkSession), "tile").sortWithinPartitions("tile", "kind")
-    found = table(found.mapInArrow(_search(model, threshold, precision), "a long, b long, n long"), "vector-links")
+    found = table(found.mapInArrow(lean(_search(model, threshold, precision)), "a long, b long, n long"), "vector-links")
     sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     classes = classes.select("key", "rep", "n").join(sums, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
@@ -250,15 +306,19 @@ def _linked(classes: DataFrame, count: int, precision: str, threshold: float, sa
     )
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, reach: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors(vec_id, embedding)``.
 
     n_links is the number of other rows with a cosine of at least
     ``threshold``, component_id the smallest vec_id reachable over links.
     Vectors that are null, zero or hold null or non-finite components link with
     nothing and are their own component.  Vectors of different lengths do not
-    link with each other; every length present has an index of its own.  A row without a vec_id links with nothing, has no component and is not kept.
-    Rows that repeat a vec_id link like any others.  Other columns are ignored.
+    link with each other; every length present has an index of its own.  A row
+    without a vec_id links with nothing, has no component and is not kept.  Rows
+    that repeat a vec_id link like any others.  Other columns are ignored.
+
+    ``reach`` is the part of the radius within which lists are probed; None fits
+    it to the sample, 1 finds every link.
     """
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     precision = "<f4" if single else "<f8"
@@ -266,7 +326,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
     )
-    named = rows.mapInArrow(_classes(precision), "vec_id long, key binary, vec binary")
+    named = rows.mapInArrow(lean(_classes(precision)), "vec_id long, key binary, vec binary")
     named = table(named, "vectors")
     valid = named.where("key is not null and vec_id is not null")
     classes = valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
@@ -276,7 +336,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     alone = classes.where(~F.length("vec").isin(several))
     result = alone.select(F.col("key").alias("_key"), (F.col("n") - 1).alias("links"), F.col("rep").alias("component"))
     for b in several:
-        result = result.unionByName(_linked(classes.where(F.length("vec") == b), lengths[b], precision, threshold, sample))
+        result = result.unionByName(_linked(classes.where(F.length("vec") == b), lengths[b], b // int(precision[-1]), precision, threshold, sample, reach))
     joined = named.join(result, (F.col("key") == F.col("_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(

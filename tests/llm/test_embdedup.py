@@ -53,6 +53,43 @@ def test_planted(spark, monkeypatch, tile):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
+def planted(rng, kind, n=1500, width=64):
+    """Vectors that lie in few dimensions of many, alone or around centres."""
+    if kind == "isotropic":
+        x = rng.normal(size=(n // 3, width))
+        return np.concatenate([x, x + rng.normal(size=x.shape) * 0.2, x + rng.normal(size=x.shape) * 0.25])
+    rank = int(kind.split()[-1])
+    basis = np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    if kind.startswith("subspace"):
+        return rng.normal(size=(n, rank)) @ basis
+    return rng.normal(size=(15, width))[rng.integers(15, size=n)] + 0.9 * rng.normal(size=(n, rank)) @ basis
+
+
+@pytest.mark.parametrize("kind", ["subspace 3", "subspace 8", "clusters 8", "clusters 3", "isotropic"])
+def test_recall_by_rank(kind):
+    """Pairs that meet in a list, of all pairs at the threshold, with the fitted reach; all of them with reach 1."""
+    x = embdedup.unit(planted(np.random.default_rng(5), kind).astype(np.float32))
+    near = np.argwhere(x @ x.T >= 0.95)
+    near = near[near[:, 0] != near[:, 1]]
+    for classes, reach, least in ((len(x), None, 0.95), (len(x), 1.0, 1.0), (10**9, None, 0.95), (10**9, 1.0, 1.0)):
+        model = embdedup.Model(x, classes, 0.95, reach)
+        own, _, _ = model.index(x)
+        row, to = model.probes(x, own)
+        met = set(zip(row.tolist(), to.tolist(), strict=True))
+        found = np.mean([(i, own[j]) in met for i, j in near.tolist()])
+        assert found >= least, (kind, classes, reach, found)
+        assert (len(model.fine) > 1) == (classes == 10**9)
+
+
+def test_two_levels(spark, monkeypatch):
+    """The whole operator with few coarse centroids and several fine ones is exact at reach 1."""
+    monkeypatch.setattr(embdedup, "COARSE", 6)
+    x = planted(np.random.default_rng(9), "clusters 8", 600, 24)
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)]
+    got = as_rows(embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), reach=1.0))
+    assert {i: v[:2] for i, v in got.items()} == brute(rows)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [[1.0, 2.0], [1.0, 2.0], None, [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0], [], [-1.0, -2.0], [1e-30, 2e-30]]
