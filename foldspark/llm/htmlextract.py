@@ -8,7 +8,13 @@
    at most, by counting), best first.
 3. Each page whose own best container is no winner is extracted again from its
    host's first winning path that holds a fair part of the page's text and more
-   than a part of that container; a page without one uses its own.
+   than a part of that container, together with what its own container has under
+   the same parent; a page without one uses its own.
+
+Elements with telling class names are left out.  Inside an article a name must be
+made up of such words altogether: related-posts goes, related-work stays.  A page
+is parsed once for its vote and once for its text: parsing is most of the work,
+but keeping the blocks in between would write the corpus out once more.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ from __future__ import annotations
 import html as references
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scratch import packed, table, with_row
+from .scratch import Batches, lean, packed, sliced, table, with_row
 
 #: Share of a host's votes that makes a path a winner.
 SHARE = 0.05
@@ -32,9 +37,9 @@ SHARE = 0.05
 FAIR = 0.5
 
 # Kinds of tags.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object", "canvas", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "label", "head", "frameset"}
+CHROME = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "head", "frameset"}
 CONTAINER = {"html", "body", "div", "article", "section", "main", "td", "center", "blockquote", "header", "details", "hgroup"}
 BLOCK = CONTAINER | CHROME | set(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table caption thead tbody tfoot tr th figure figcaption address summary hr br".split()
@@ -58,6 +63,12 @@ CHROME_WORDS = set(
     "commentlist disqus reply replies respond responses share sharing social related recommended newsletter subscribe subscription signup login "
     "search pagination pager widget widgets toolbar skip copyright".split()
 )
+# Words that say nothing of their own beside those, in class names inside an article.
+PLAIN_WORDS = set(
+    "area article articles bar block body bottom box btn button buttons c container content count form foot group head header heading icon icons "
+    "inner item items js left link links list main module more of post posts right row section slot stories story thread title top unit wrap "
+    "wrapper wrapping".split()
+)
 # First parts of class names that say what stands next to an element, not what it is.
 BESIDE = {"has", "with", "no", "without", "is", "js", "layout"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
@@ -88,8 +99,10 @@ class Page:
         return found
 
     def _is_chrome(self, tag: str, a: dict[str, str], inside_article: bool) -> bool:
-        if tag in CHROME or (tag == "header" and not inside_article) or not a:
-            return tag in CHROME or (tag == "header" and not inside_article)
+        if tag in CHROME or (tag in ("header", "noscript") and not inside_article):
+            return True
+        if not a:
+            return False
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
             return True
         if a.get("role", "").lower() in CHROME_ROLES:
@@ -98,9 +111,11 @@ class Page:
             return False
         for name in (*a.get("class", "").lower().split(), *a.get("id", "").lower().split()):
             parts = PART.findall(name)
-            if parts and parts[0] in BESIDE:
+            if parts and parts[0] in BESIDE or CHROME_WORDS.isdisjoint(parts):
+                if not inside_article and parts in (["header"], ["site", "header"], ["page", "header"]):
+                    return True
                 continue
-            if not CHROME_WORDS.isdisjoint(parts) or (not inside_article and parts in (["header"], ["site", "header"], ["page", "header"])):
+            if not inside_article or all(x in CHROME_WORDS or x in PLAIN_WORDS for x in parts):
                 return True
         return False
 
@@ -256,6 +271,14 @@ class Page:
             inside[n] = own == path or (parent >= 0 and inside[parent])
         return [n for n, (_, _, container) in enumerate(self.blocks) if inside[container]]
 
+    def beside(self, path: int) -> list[int]:
+        """Numbers of the blocks below the parents of the containers with this path."""
+        parents = {parent for own, parent, _ in self.containers if own == path}
+        below = [False] * len(self.containers)
+        for n, (_, parent, _) in enumerate(self.containers):
+            below[n] = n in parents or (parent >= 0 and below[parent])
+        return [n for n, (_, _, container) in enumerate(self.blocks) if below[container]]
+
     def text_of(self, path: int) -> str:
         """Blocks below the containers with this path, in page order."""
         return "\n".join(self.blocks[n][0] for n in self.inside(path))
@@ -271,8 +294,8 @@ def _signed(path: int) -> int:
     return path - (1 << 64) if path >> 63 else path
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _vote(batches: Batches) -> Batches:
+    for batch in sliced(batches, "html"):
         hosts, paths, sizes = [], [], []
         for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
             page = parsed(source.as_py())
@@ -288,26 +311,28 @@ def main_text(source: str, winners: list[int] | None = None) -> str:
     """Main text of one page, from the first fair winning path or the page's own best container.
 
     The page's own path stays where it is a winner itself, and where a winning
-    path lies wholly inside it and so could only take text away.
+    path lies wholly inside it and so could only take text away.  What it has
+    under the winning path's parent stays in any case.
     """
     page = parsed(source)
     own = page.best()
     if own is None:
         return ""
-    text = page.text_of(own)
     winning = [path & 0xFFFFFFFFFFFFFFFF for path in winners or ()]
-    if own in winning:
-        return text
     held = set(page.inside(own))
-    for path in winning:
-        other = page.text_of(path)
-        if len(other) >= FAIR * len(text) and not held.issuperset(page.inside(path)):
-            return other
-    return text
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    blocks = held
+    if own not in winning:
+        size = sum(len(page.blocks[n][0]) for n in held)
+        for path in winning:
+            other = set(page.inside(path))
+            if not held.issuperset(other) and sum(len(page.blocks[n][0]) for n in other) >= FAIR * size:
+                blocks = other | held.intersection(page.beside(path))
+                break
+    return "\n".join(page.blocks[n][0] for n in sorted(blocks))
+
+
+def _extract(batches: Batches) -> Batches:
+    for batch in sliced(batches, "_html"):
         pairs = zip(batch.column("_html"), batch.column("winners"), strict=True)
         texts = [main_text(source.as_py(), winners.as_py()) for source, winners in pairs]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
@@ -321,7 +346,7 @@ def host_of(url):
 
 def consensus(pages: DataFrame) -> DataFrame:
     """(host, winners): the winning paths of each host, best first.  ``pages(host, html)``."""
-    votes = pages.where("host is not null").mapInArrow(_vote, "host string, path long, size long")
+    votes = pages.where("host is not null").mapInArrow(lean(_vote), "host string, path long, size long")
     counted = table(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "host-paths")
     hosts = counted.groupBy("host").agg(F.sum("n").alias("all"))
     ranked = counted.join(hosts, "host").where(F.col("n") >= SHARE * F.col("all"))
@@ -345,6 +370,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rest = [c for c in pages.columns if c != "text"]
     own = pages.select(packed(pages, rest), host_of(pages["url"]).alias("_host"), source.alias("_html"))
     joined = own.join(winners, own["_host"] == winners["host"], "left").select("row", "_html", "winners")
-    out = joined.mapInArrow(_extract, with_row(joined, text=StringType()))
+    out = joined.mapInArrow(lean(_extract), with_row(joined, text=StringType()))
     column = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
     return out.select(*(column(c) for c in dict.fromkeys([*pages.columns, "text"])))

@@ -44,6 +44,11 @@ def test_synthetic_pages(spark):
         ("<p>unclosed <b", "unclosed <b"),
         (f"<div class='page has-sidebar'><div class=sidebar-1>links</div><div class=post>{PARA}</div></div>", PARA),
         (f"<div class='widget'><p>{PARA}</p><form>mail</form></div>", PARA),
+        (f"<article><p>{PARA}</p><section class='related-work'><p>Others</p></section><div class='alert-levels'>Red</div></article>", f"{PARA}\nOthers\nRed"),
+        (f"<article><p>{PARA}</p><div class='related-posts'><p>More</p></div><ul class='share-buttons'><li>X</ul><div id=comments>c</div></article>", PARA),
+        (f"<article><figure><label>Figure 1</label> shows</figure><p>where <math><mi>x</mi>=<mn>1</mn></math>. {PARA}</p></article>", f"Figure 1 shows\nwhere x=1. {PARA}"),
+        (f"<noscript>Turn scripts on</noscript><article><p>{PARA}</p><noscript><p>Plain table</p></noscript></article>", f"{PARA}\nPlain table"),
+        (f"<article><p>{PARA}</p><form><label>Mail</label><input></form><p class='warning-signs'>Look</p></article>", f"{PARA}\nLook"),
     ],
 )
 def test_pages(source, want):
@@ -84,3 +89,55 @@ def test_other_layout_on_a_host(spark):
     got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[50] == f"{PARA * 3}\n{'M' + PARA * 2}"
     assert all(got[i] == PARA * 3 for i in range(20))
+
+
+def layouts():
+    """(name, page from a number, its main text) of hand-made layouts without article or main."""
+    para = lambda n, k: f"{PARA} Number {n}, part {k}. " + "More of it. " * (n % 7 + 3 * k)
+    clean = lambda *texts: "\n".join(" ".join(t.split()) for t in texts)
+    menu = "<nav><a href=/>Home</a> <a href=/n>News</a></nav>"
+    links = "".join(f"<a href=/{i}>Some other page {i}</a> " for i in range(12))
+    yield "plain boxes", lambda n: (
+        f"<body>{menu}<div class='entry e{n}'><h1>Head {n}</h1><p>{para(n, 1)}</p><p>{para(n, 2)}</p></div><div class=footer>(c) us</div></body>",
+        clean(f"Head {n}", para(n, 1), para(n, 2)),
+    )
+    yield "two boxes", lambda n: (
+        f"<body><div id=top class=navbar>{links}</div><div class=left><p>{para(n, 3)}</p></div><div class=right><p>{para(n, 1)}</p></div></body>",
+        clean(para(n, 3), para(n, 1)),
+    )
+    yield "table", lambda n: (
+        f"<table><tr><td class=menu>{links}<td class=text><b>Head {n}</b><br>{para(n, 1)}<br><br>{para(n, 2)}<tr><td colspan=2>{links}</table>",
+        clean(f"Head {n}", para(n, 1), para(n, 2)),
+    )
+    yield "bare", lambda n: (f"<html><body><h1>H{n}</h1>{para(n, 1)}<p>{para(n, 2)}<ul><li>one<li>two</ul>", clean(f"H{n}", para(n, 1), para(n, 2), "one", "two"))
+    yield "old header", lambda n: (
+        f"<center><div class=site-header>The Site</div></center><div class=c{n}><p>{para(n, 2)}</p><div class='comments-area'><p>{para(n, 1)}</p></div></div>",
+        clean(para(n, 2)),
+    )
+    yield "role", lambda n: (
+        f"<div role=banner>Site</div><div role=main><p>{para(n, 1)}</p><div role=complementary>side</div></div><div role=contentinfo>end</div>",
+        clean(para(n, 1)),
+    )
+    yield "cookie", lambda n: (
+        f"<div class=cookie-consent><p>We use cookies. {PARA}</p></div><div class=post-body><p>{para(n, 1)}</p><aside>See also</aside></div>",
+        clean(para(n, 1)),
+    )
+
+
+@pytest.mark.parametrize("name,page", list(layouts()))
+def test_layouts(spark, name, page):
+    """One host a layout, and one host where pages of every layout mix: nothing of an article is lost."""
+    rows, want = [], {}
+    for n in range(25):
+        source, text = page(n)
+        want[n] = text
+        rows.append((n, f"http://{name.replace(' ', '')}.example/{n}", source))
+    for k, (_, other) in enumerate(layouts()):
+        for n in range(3):
+            source, text = other(n)
+            want[1000 + 10 * k + n] = text
+            rows.append((1000 + 10 * k + n, f"http://{name.replace(' ', '')}.example/m/{k}/{n}", source))
+    got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    links = re.compile(r"^(Some other page \d+ ?)+$", re.M)
+    assert {i: "\n".join(x for x in t.split("\n") if not links.match(x)) for i, t in got.items()} == want
+    assert all(not links.search(got[n]) for n in range(25)) or name == "table"
