@@ -58,6 +58,67 @@ def test_host_verdict(spark):
     assert not got[100] and got[500] and all(got[200 + i] for i in range(70))
 
 
+def brute_kept(rows, limit=0.8):
+    """kept of each row by plain arithmetic: rates of each host and rule under a beta prior by moments."""
+    fails, hosts = [], []
+    for _, text, source in rows:
+        n, _, symbols, dup, _, base = brute(text)
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        repetitive = 100 * brute(text)[4] > 30 * n
+        fails.append((n < 20, repetitive, 10 * symbols > n, 10 * dup > 3 * len(lines)))
+        hosts.append(source and re.sub(r"^[^:]+://(?:[^/@]*@)?([^/:?#]*).*$", lambda m: m[1].lower(), source))
+        assert base == (n < 20 or repetitive)
+    bad = set()
+    known = sorted({h for h in hosts if h is not None})
+    for rule in range(4):
+        count = {h: (sum(f[rule] for f, x in zip(fails, hosts, strict=True) if x == h), hosts.count(h)) for h in known}
+        rates = [k / n for k, n in count.values()]
+        mean = sum(rates) / max(1, len(rates))
+        spread = sum((r - mean) ** 2 for r in rates) / max(1, len(rates))
+        weight = min(10000, max(1, mean * (1 - mean) / spread - 1)) if spread > 0 else 10000
+        bad |= {h for h, (k, n) in count.items() if (k + mean * weight) / (n + weight) > limit}
+    return [not (f[0] or f[1]) and h not in bad for f, h in zip(fails, hosts, strict=True)], bad
+
+
+GOOD = " ".join(f"word{i}" for i in range(40))
+TABLES = {
+    "bad host": [*((i, "short", "http://bad.example/a") for i in range(60)), (100, GOOD, "HTTP://u@BAD.example:80/b"), *((200 + i, GOOD, f"https://h{i % 7}.example/x") for i in range(70))],
+    "few pages are not judged alone": [*((i, "short", "small") for i in range(2)), (5, GOOD, "small"), *((200 + i, GOOD, f"h{i % 9}") for i in range(90))],
+    "symbols": [*((i, GOOD + " # $ % & | <" * 9, "s") for i in range(40)), *((200 + i, GOOD, f"h{i % 5}") for i in range(50)), (300, GOOD, "s")],
+    "lines": [*((i, "\n".join([GOOD, "a", "a", "a", "a"]), "l") for i in range(40)), *((200 + i, GOOD, "m") for i in range(50)), (300, GOOD, "l")],
+    "no spread": [(i, GOOD + " #" * 30, f"h{i % 3}") for i in range(30)],  # every host fails a rule always: the rate is 1
+    "none fails": [(i, GOOD, f"h{i % 3}") for i in range(30)],
+    "one host": [(i, GOOD if i % 10 else "short", "http://one.example/") for i in range(30)],
+    "null hosts": [*((i, "short", None) for i in range(40)), (50, GOOD, None), (51, GOOD, "x"), (52, None, "x")],
+}
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_verdict_by_brute_force(spark, name):
+    rows = TABLES[name]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (0.8, 0.3):
+        want, bad = brute_kept(rows, limit)
+        got = {r.doc_id: r.kept for r in quality.quality(docs, limit).collect()}
+        assert got == {r[0]: k for r, k in zip(rows, want, strict=True)}
+        kept = {r.doc_id for r in quality.keep_good(docs, limit).collect()}
+        assert kept == {r[0] for r, k in zip(rows, want, strict=True) if k}
+        if limit == 0.8:
+            assert bad == {"bad host": {"bad.example"}, "symbols": {"s"}, "lines": {"l"}, "no spread": {"h0", "h1", "h2"}}.get(name, set())
+
+
+def test_verdict_matches_sql(spark):
+    """The tables at hand have no host that fails, so the SQL is held against planted ones as well."""
+    import pandas as pd
+
+    rows = [(1000 * n + i, t, s and f"{s}" if n else s) for n, table in enumerate(TABLES.values()) for i, t, s in table]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    want = duckdb.sql(quality.SQL).fetchall()
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any(not r[6] and not r[7] for r in want)
+
+
 @pytest.mark.parametrize("url,host", [("http://A.b/c", "a.b"), ("src1", "src1"), ("ftp://u:p@h:1/x", "h")])
 def test_host(spark, url, host):
     df = spark.createDataFrame([(url,)], "s string")
