@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import codecs, hashing
 from .operators.accumulator import Accumulator
 from .operators.opaque import divide, opaque_aggregate
-from .plans.engine import aggregate, distinct_keys, finish, merge_partials, partial, reaggregate
+from .plans.engine import aggregate, distinct_keys, finish, merge_partials, partial, partials_by, reaggregate
 from .plans.spec import AggSpec, StateCol, count, exact_sum
 from .sources import wire
 from .sources.datagen import generate
@@ -123,10 +123,12 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bulk_insert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, acc = read(spark, sf_dir, "lineitem"), Accumulator(spark, quantity("l_returnflag"))
-    for n in range(1, 4):
-        acc.bulk_insert(items.where(F.col("l_linenumber") == n))
-    acc.bulk_insert(items.where(F.col("l_linenumber").isNull() | ~F.col("l_linenumber").isin(1, 2, 3)))
+    """A batch for each of the line numbers 1 to 3 and one for all others, dealt in one pass."""
+    spec = quantity("l_returnflag")
+    acc = Accumulator(spark, spec)
+    batch = F.when(F.col("l_linenumber").isin(1, 2, 3), F.col("l_linenumber")).otherwise(0)
+    for states in partials_by(read(spark, sf_dir, "lineitem"), spec, batch, 4):
+        acc.insert_states(states)
     return acc.snapshot()
 
 
@@ -143,7 +145,7 @@ def two_source_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_level_reagg(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem")
     spec = quantity("l_returnflag")
-    parts = [partial(items.where(F.pmod(F.coalesce("l_partkey", F.lit(0)), F.lit(8)) == n), spec) for n in range(8)]
+    parts = partials_by(items, spec, F.pmod(F.coalesce("l_partkey", F.lit(0)), F.lit(8)), 8)
     return finish(reaggregate(parts, spec, 2), spec)
 
 
@@ -181,9 +183,10 @@ def uint32_wrap_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def collision_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clashing = ["reretion.", "innden$$$", "rrci.", "thndeaha."]  # two pairs with equal hashes
-    return aggregate(words(read(spark, sf_dir, "documents")).where(F.col("word").isin(clashing)), per_word())
+def colliding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words, and once more two pairs of words with equal hashes: keys are told apart by equality."""
+    clashing = spark.range(1).select(F.explode(F.array(*map(F.lit, ("reretion.", "innden$$$", "rrci.", "thndeaha.")))).alias("word"))
+    return aggregate(words(read(spark, sf_dir, "documents")).unionByName(clashing), per_word())
 
 
 @query
@@ -193,22 +196,33 @@ def read_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.read(limit=100)
 
 
+def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(event_type, n_first, n_second) of two counts."""
+    counts = [df.select("event_type", F.lit(k).alias("k"), "n") for k, df in enumerate((first, second))]
+    sums = [F.sum(F.when(F.col("k") == k, F.col("n"))).alias(name) for k, name in enumerate(("n_first", "n_second"))]
+    return counts[0].unionByName(counts[1]).groupBy("event_type").agg(*sums)
+
+
 @query
-def drain_then_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drain_and_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of all events: nothing of the first is left in the second."""
     events, acc = read(spark, sf_dir, "events"), Accumulator(spark, per_event())
-    acc.bulk_insert(events.where("user_id % 2 = 0"))
-    acc.drain()
-    acc.bulk_insert(events.where("user_id % 2 = 1"))
-    return acc.drain()
+    epochs = []
+    for _ in range(2):
+        acc.bulk_insert(events)
+        epochs.append(acc.drain())
+    return _side_by_side(*epochs)
 
 
 @query
-def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot after all events, and one after they came again: the first does not change."""
     events, acc = read(spark, sf_dir, "events"), Accumulator(spark, per_event())
-    acc.bulk_insert(events.where("user_id % 2 = 0"))
-    first = acc.snapshot()
-    acc.bulk_insert(events.where("user_id % 2 = 1"))
-    return first
+    snapshots = []
+    for _ in range(2):
+        acc.bulk_insert(events)
+        snapshots.append(acc.snapshot())
+    return _side_by_side(*snapshots)
 
 
 @query
@@ -300,6 +314,41 @@ def gen_powerlaw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate(generate(spark, 100_000, 10_000, 8, power=1.0), AggSpec(by("key"), (StateCol("count", F.col("count")),)))
 
 
+def _law(keys: DataFrame, letters: int) -> DataFrame:
+    """What must hold of generated keys: rows, length, letters of the prefix, and a filler that adds no keys.
+
+    The prefix is two letters and one of the first ``letters``.
+    """
+    prefix = F.substring("key", 1, 3)
+    odd = ~F.col("key").rlike(f"^[a-z][a-z][a-{chr(96 + letters)}][a-z]*$")
+    per_prefix = keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"), F.sum("count").alias("count"), F.sum(odd.cast("long")).alias("odd"), F.min(F.length("key")).alias("short"), F.max(F.length("key")).alias("long"))
+    return per_prefix.agg(
+        F.sum("count").alias("total"),
+        F.min("short").alias("shortest"),
+        F.max("long").alias("longest"),
+        F.sum("odd").alias("odd_keys"),
+        F.sum(F.col("n") - 1).alias("keys_beyond_prefixes"),
+        (F.count("*") > 0.98 * 26 * 26 * letters).alias("nearly_all_prefixes"),
+        (F.max("count") > 20 * F.sum("count") / (26 * 26 * letters)).alias("skewed"),
+    )
+
+
+@query
+def gen_uniform_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _law(gen_uniform(spark, sf_dir), 15)
+
+
+@query
+def gen_powerlaw_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _law(gen_powerlaw(spark, sf_dir), 15).drop("nearly_all_prefixes")
+
+
+@query
+def load_replay_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that came through a replay, by the first letters of their keys being letters at all."""
+    return load_replay(spark, sf_dir).groupBy(F.length("key").alias("length")).agg(F.sum("count").alias("total"))
+
+
 @query
 def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_complete(ingest.file_stream(spark, sf_dir, "events"), per_event())[0]

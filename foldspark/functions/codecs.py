@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 
+LARGEST = (1 << 32) - 1
+
+
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
@@ -32,23 +35,35 @@ def rle_decode(pairs: Column) -> Column:
     return _let(pairs, decode)
 
 
+def _so_far(w: Window) -> Window:
+    """The rows up to this one; without this, rows of one order would add up together."""
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def rle_table(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, run, value, n): runs of equal values within each key, in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """(keys, run, value, n): runs of equal values within each key, in order; rows of one order lie by value."""
+    w = Window.partitionBy(*keys).orderBy(order, value)
     new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.select(*keys, order, value, new.alias("_new")).withColumn("run", F.sum("_new").over(w))
+    runs = df.select(*keys, order, value, new.alias("_new")).withColumn("run", F.sum("_new").over(_so_far(w)))
     return runs.groupBy(*keys, "run", value).agg(F.count("*").alias("n"))
 
 
-def delta_table(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Each value as its difference from the one before it within the key; the first as it is."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.select(*keys, order, (F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))).alias("delta"))
+def delta_table(df: DataFrame, keys: list[str], order: str | list[str], value: str) -> DataFrame:
+    """Each value as its difference from the one before it within the key; the first as it is.
+
+    Rows of one order lie by value.  ``undelta_table`` needs an order that is
+    total within each key: give more columns where one does not tell rows apart.
+    """
+    columns = [order] if isinstance(order, str) else order
+    w = Window.partitionBy(*keys).orderBy(*columns, value)
+    return df.select(*keys, *columns, (F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))).alias("delta"))
 
 
-def undelta_table(df: DataFrame, keys: list[str], order: str, delta: str) -> DataFrame:
-    """Values from their differences."""
-    return df.select(*keys, order, F.sum(delta).over(Window.partitionBy(*keys).orderBy(order)).alias("value"))
+def undelta_table(df: DataFrame, keys: list[str], order: str | list[str], delta: str) -> DataFrame:
+    """Values from their differences, row by row in a total order."""
+    columns = [order] if isinstance(order, str) else order
+    w = Window.partitionBy(*keys).orderBy(*columns, delta)
+    return df.select(*keys, *columns, F.sum(delta).over(_so_far(w)).alias("value"))
 
 
 def nlz(c: Column) -> Column:
@@ -78,32 +93,52 @@ def log26(x: Column) -> Column:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as deltas in fragments of one width.
+    """Ascending 32-bit numbers as deltas in fragments of the width that takes the fewest bits in all.
 
-    Words, little-endian: width, bits used in the last word, then the
-    fragments from the most significant bit on.  A fragment is the value and a
-    bit for "goes on", which the widest value's width makes needless (0).
+    Words, little-endian: width, bits used in the last word, then the fragments
+    from the most significant bit on.  A delta's lowest bits come first; each
+    fragment ends in a bit that tells whether the delta goes on in the next.
     """
     deltas = np.diff(values.astype(np.int64), prepend=0)
-    if len(values) and (deltas < 0).any():
-        raise ValueError("values must ascend")
-    k = max(1, int(deltas.max(initial=0)).bit_length())
-    shifts = np.arange(k - 1, -1, -1)
-    bits = np.zeros((len(values), k + 1), np.uint8)
-    bits[:, :k] = (deltas[:, None] >> shifts[None, :]) & 1
+    if len(values) and ((deltas < 0).any() or values[-1] > LARGEST):
+        raise ValueError("values must ascend and have 32 bits")
+    need = np.maximum(1, np.frexp(deltas.astype(np.float64))[1])  # bits of each delta; exact, as they have 32 at most
+    sizes, number = np.unique(need, return_counts=True)
+    k = min(range(1, 33), key=lambda w: ((-(-sizes // w) * number).sum() * (w + 1), w)) if len(values) else 1
+    each = -(-need // k)
+    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    part = (np.repeat(deltas, each) >> (k * step)) & ((1 << k) - 1)
+    bits = np.empty((len(part), k + 1), np.uint8)
+    bits[:, :k] = (part[:, None] >> np.arange(k - 1, -1, -1)[None, :]) & 1
+    bits[:, k] = step < np.repeat(each, each) - 1
     flat = bits.reshape(-1)
     body = np.packbits(np.pad(flat, (0, -len(flat) % 32))).view(">u4").astype("<u4")
     return np.concatenate((np.array([k, len(flat) % 32], "<u4"), body)).tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    """The numbers that ``pack`` was given."""
+    """The numbers that ``pack`` was given; ValueError for anything that it cannot have made."""
+    if len(raw) < 8 or len(raw) % 4:
+        raise ValueError("no whole words")
     words = np.frombuffer(raw, "<u4")
     k, rest = int(words[0]), int(words[1])
     bits = np.unpackbits(words[2:].astype(">u4").view(np.uint8))
     used = len(bits) - (32 - rest if rest else 0)
-    table = bits[:used].reshape(-1, k + 1)[:, :k].astype(np.int64)
-    return np.cumsum(table @ (np.int64(1) << np.arange(k - 1, -1, -1)))
+    if not 1 <= k <= 32 or rest > 31 or used < 0 or used % (k + 1) or bits[used:].any():
+        raise ValueError("the width does not fit the length")
+    table = bits[:used].reshape(-1, k + 1)
+    if not len(table):
+        return np.zeros(0, np.int64)
+    more = table[:, k].astype(bool)
+    first = np.flatnonzero(np.concatenate(([True], ~more[:-1])))
+    step = np.arange(len(table)) - np.repeat(first, np.diff(np.concatenate((first, [len(table)]))))
+    if more[-1] or int(step.max()) * k >= 32:
+        raise ValueError("a number does not end")
+    part = table[:, :k].astype(np.int64) @ (np.int64(1) << np.arange(k - 1, -1, -1))
+    values = np.cumsum(np.add.reduceat(part << (k * step), first))
+    if values[-1] > LARGEST:
+        raise ValueError("a number has more than 32 bits")
+    return values
 
 
 @F.arrow_udf(BinaryType())

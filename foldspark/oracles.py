@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions import hashing
 
 WORDS = "(SELECT unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS word FROM documents)"
-EVENT_COUNT = "SELECT event_type, count(*) AS n FROM events {} GROUP BY 1"
+EVENT_COUNT = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"
 FLAG = "SELECT l_returnflag, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1"
 MASK = hashing.MASK
 
@@ -56,9 +56,39 @@ x AS (SELECT p_partkey, max(hash) FILTER (WHERE k = 0) AS h0, max(hash) FILTER (
 y AS (SELECT *, (CASE WHEN l1 > l2 THEN h1 + (h2 & 1023) ELSE (h1 & 1023) + h2 + 1 END) & {MASK} AS b FROM x)
 SELECT p_partkey, CASE WHEN NOT contains(t, '-') THEN h0 WHEN b = {MASK} THEN {MASK - 1} ELSE b END AS hash FROM y JOIN p USING (p_partkey)"""
 
+
+
+def _lookup3(groups: int = 8) -> str:
+    """Jenkins lookup3 of p_name with seeds 0 by its bytes in hex, step by step; null for names of more than 12 bytes a group."""
+    byte = lambda i: f"(CASE WHEN {i} < n THEN ('0x' || substr(hx, {2 * i + 1}, 2))::BIGINT ELSE 0 END)"
+    word = lambda at: " + ".join(f"{byte(at + k)} * {256**k}" for k in range(4))
+    turn = lambda v, k: f"((({v} << {k}) & 4294967295) | ({v} >> {32 - k}))"
+    steps = ["SELECT p_partkey, hex(p_name) AS hx, strlen(p_name)::BIGINT AS n, (3735928559 + strlen(p_name)) & 4294967295 AS a, a AS b, a AS c FROM part"]
+
+    def step(condition: str, **new: str) -> None:
+        made = ", ".join(f"CASE WHEN {condition} THEN ({x}) & 4294967295 ELSE {v} END AS {v}" for v, x in new.items())
+        steps.append(f"SELECT * REPLACE ({made}) FROM s{len(steps) - 1}")
+
+    for g in range(groups):
+        step(f"n > {12 * g}", **{v: f"{v} + {word(12 * g + 4 * k)}" for k, v in enumerate("abc")})
+        for x, y, z, k in ("abc4", "bca6", "cab8", ("a", "b", "c", 16), ("b", "c", "a", 19), "cab4"):
+            step(f"n > {12 * g + 12}", **{x: f"xor(({x} - {z}) & 4294967295, {turn(z, int(k))})", z: f"{z} + {y}"})
+    for x, y, k in (("c", "b", 14), ("a", "c", 11), ("b", "a", 25), ("c", "b", 16), ("a", "c", 4), ("b", "a", 14), ("c", "b", 24)):
+        step("n > 0", **{x: f"xor({x}, {y}) - {turn(y, k)}"})
+    step(f"n > {12 * groups}", b="NULL", c="NULL")
+    return "WITH " + ", ".join(f"s{k} AS ({q})" for k, q in enumerate(steps)) + " SELECT p_partkey, {} FROM " + f"s{len(steps) - 1}"
+
+
+_LAW = "SELECT 100000::BIGINT AS total, 8 AS shortest, 8 AS longest, 0::BIGINT AS odd_keys, 0::BIGINT AS keys_beyond_prefixes"
+
 ORACLE: dict[str, str] = {
+    "bob": _lookup3().format("c AS hash"),
+    "bob2": _lookup3().format("c AS idx1, b AS idx2"),
+    "gen_uniform_law": f"{_LAW}, true AS nearly_all_prefixes, false AS skewed",
+    "gen_powerlaw_law": f"{_LAW}, true AS skewed",
+    "load_replay_total": "SELECT 6 AS length, 30000::BIGINT AS total",
     "word_count": f"SELECT word, count(*) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1",
-    "count_by_key": EVENT_COUNT.format(""),
+    "count_by_key": EVENT_COUNT,
     "sum_by_key": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, "
     "sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_price FROM lineitem GROUP BY 1, 2",
     "min_max_by_key": "SELECT event_type, min(user_id) AS min_user_id, max(user_id) AS max_user_id, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY 1",
@@ -79,11 +109,12 @@ ORACLE: dict[str, str] = {
     "divide_remerge": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1",
     "opaque_merge": "SELECT event_type, count(*) AS n, max(user_id) AS top FROM events GROUP BY 1",
     "uint32_wrap_sum": "SELECT l_returnflag, (sum(l_partkey * 1000003) % 4294967296)::BIGINT AS wrapped FROM lineitem GROUP BY 1",
-    "collision_safe": f"SELECT word, count(*) AS n FROM {WORDS} WHERE word IN ('reretion.', 'innden$$$', 'rrci.', 'thndeaha.') GROUP BY 1",
+    "colliding_keys": f"SELECT word, count(*) AS n FROM (SELECT word FROM {WORDS} WHERE word <> '' UNION ALL "
+    "SELECT unnest(['reretion.', 'innden$$$', 'rrci.', 'thndeaha.'])) GROUP BY 1",
     "read_limit": f"WITH src AS (SELECT word, count(*) AS c FROM {WORDS} WHERE word <> '' GROUP BY 1) "
     f"SELECT word, c AS n, hash AS key_hash FROM (SELECT word, c, hash FROM ({_engine('word')})) ORDER BY hash, word LIMIT 100",
-    "drain_then_reuse": EVENT_COUNT.format("WHERE user_id % 2 = 1"),
-    "snapshot_read": EVENT_COUNT.format("WHERE user_id % 2 = 0"),
+    "drain_and_refill": "SELECT event_type, count(*) AS n_first, count(*) AS n_second FROM events GROUP BY 1",
+    "snapshot_isolation": "SELECT event_type, count(*) AS n_first, 2 * count(*) AS n_second FROM events GROUP BY 1",
     "murmur2": f"WITH src AS (SELECT DISTINCT word FROM {WORDS} WHERE word <> '') SELECT word, hash FROM ({_engine('word')})",
     "digram": _DIGRAM,
     "nullhash": f"SELECT p_partkey, {_nullhash(0)}, {_nullhash(2)}, 0::BIGINT AS h50 FROM part",
@@ -100,8 +131,8 @@ ORACLE: dict[str, str] = {
     "delta_roundtrip": "SELECT o_custkey, count(*) AS n, true AS same FROM orders GROUP BY 1",
     "bit_width": "SELECT o_orderkey, (32 - b)::INTEGER AS nlz, b::INTEGER AS bits, o_orderkey + o_orderkey // 255 + 16 AS bound FROM "
     "(SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS b FROM orders)",
-    "stream_complete": EVENT_COUNT.format(""),
-    "stream_foreach_partials": EVENT_COUNT.format(""),
+    "stream_complete": EVENT_COUNT,
+    "stream_foreach_partials": EVENT_COUNT,
     "wire_roundtrip": "SELECT event_type AS key, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "ingest_metrics": "SELECT count(*) AS total_rows FROM events",
 }

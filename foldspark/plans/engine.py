@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_path
 from .spec import AggSpec
 
 
@@ -17,6 +18,25 @@ def partial(df: DataFrame, spec: AggSpec) -> DataFrame:
     return out.withColumnsRenamed({f"__key_{k}": k for k in spec.keys})
 
 
+def partials_by(df: DataFrame, spec: AggSpec, batch: Column, batches: int) -> list[DataFrame]:
+    """Partial tables of ``batches`` parts of ``df``, whose number (from 0) is the integer ``batch``, in one pass over it.
+
+    The states of all parts are written as one table, small as they are folded
+    already; each part is a filter of that.  Rows with a null number, or one out
+    of range, are refused.
+    """
+    name = "_batch"
+    while name in (*spec.keys, *(s.name for s in spec.states)):
+        name += "_"
+    number = F.when(batch.between(0, batches - 1), batch).otherwise(F.raise_error(F.lit("a row belongs to no batch")))
+    inner = AggSpec({**spec.keys, name: number.cast("int")}, spec.states)
+    states = partial(df, inner)
+    path = shared_path(df.sparkSession, "batches")
+    states.write.parquet(path)
+    held = df.sparkSession.read.schema(states.schema).parquet(path)
+    return [held.where(F.col(name) == n).drop(name) for n in range(batches)]
+
+
 def merge_partials(parts: list[DataFrame], spec: AggSpec) -> DataFrame:
     """Fold partial tables into one; the result is a partial table again.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import import_module
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,10 +23,17 @@ MERGES: dict[str, Callable[[Column], Column]] = {
     "bool_or": F.bool_or,
     "set_union": lambda c: F.array_distinct(F.flatten(F.collect_set(c))),
     "hll_union": F.hll_union_agg,
+    "theta_union": F.theta_union_agg,
+    "kll_merge": F.kll_merge_agg_bigint,
     "uint32_sum": lambda c: F.pmod(F.sum(c), F.lit(UINT32)),
 }
 #: How rows are folded into a first state, where that is not the merge itself.
-FIRST: dict[str, Callable[[Column], Column]] = {"set_union": F.collect_set, "hll_union": F.hll_sketch_agg}
+FIRST: dict[str, Callable[[Column], Column]] = {
+    "set_union": F.collect_set,
+    "hll_union": F.hll_sketch_agg,
+    "theta_union": F.theta_sketch_agg,
+    "kll_merge": F.kll_sketch_agg_bigint,
+}
 
 
 @dataclass(frozen=True)
@@ -83,6 +91,31 @@ def registered(name: str) -> AggSpec:
     return _registry[name]
 
 
+def load(target: str) -> AggSpec:
+    """The spec of a plug-in by name, ``module:attribute``; it is registered under that name.
+
+    The attribute is a spec, or a function without arguments that makes one.
+    """
+    module, _, attribute = target.partition(":")
+    if not module or not attribute:
+        raise ValueError(f"{target!r} is not of the form module:attribute")
+    if target not in _registry:
+        found = getattr(import_module(module), attribute)
+        made = found if isinstance(found, AggSpec) else found()
+        if not isinstance(made, AggSpec):
+            raise TypeError(f"{target!r} gives no spec")
+        register(target, made)
+    return registered(target)
+
+
+def best_by(name: str, by: Column, value: Column, largest: bool = True) -> StateCol:
+    """The value at the largest (or smallest) ``by``, as a struct (by, value); ties go to the largest (smallest) value.
+
+    Rows whose ``by`` is null count as the smallest.
+    """
+    return StateCol(name, F.struct(by.alias("by"), value.alias("value")), "max" if largest else "min")
+
+
 def count(name: str = "n") -> StateCol:
     return StateCol(name, F.lit(1).cast("long"))
 

@@ -47,13 +47,27 @@ def start_partials(stream: DataFrame, spec: AggSpec, stage: str, checkpoint: str
     return tally.follow(writer.trigger(availableNow=True).start())
 
 
+def _no_states(stream: DataFrame, spec: AggSpec) -> DataFrame:
+    """The partial table of no rows."""
+    return partial(stream.sparkSession.createDataFrame([], stream.schema), spec)
+
+
+def _read(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """What batches wrote below ``path``; ``empty`` where no batch came.  Folders of batches are no columns."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return empty
+    return spark.read.option("recursiveFileLookup", True).schema(empty.schema).parquet(path)
+
+
 def run_complete(stream: DataFrame, spec: AggSpec) -> tuple[DataFrame, StreamingQuery]:
     """Ingest all that is there now; the result as a plain table, and the query that made it."""
     spark = stream.sparkSession
     out = shared_path(spark, "stream-out")
     query = start_complete(stream, spec, out, shared_path(spark, "stream-state"))
     query.awaitTermination()
-    return spark.read.parquet(out), query
+    empty = finish(_no_states(stream, spec), spec)
+    return _read(spark, out, empty), query
 
 
 def run_partials(stream: DataFrame, spec: AggSpec) -> tuple[DataFrame, StreamingQuery]:
@@ -62,7 +76,7 @@ def run_partials(stream: DataFrame, spec: AggSpec) -> tuple[DataFrame, Streaming
     stage = shared_path(spark, "stream-stage")
     query = start_partials(stream, spec, stage, shared_path(spark, "stream-state"))
     query.awaitTermination()
-    return finish(merge_partials([spark.read.parquet(stage).drop("batch")], spec), spec), query
+    return finish(merge_partials([_read(spark, stage, _no_states(stream, spec))], spec), spec), query
 
 
 def socket_stream(spark: SparkSession, host: str, port: int, schema: str) -> DataFrame:

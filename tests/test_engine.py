@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from foldspark.operators.accumulator import HASH, Accumulator, partition_report
 from foldspark.operators.opaque import divide, opaque_aggregate
 from foldspark.plans import spec as specs
-from foldspark.plans.engine import aggregate, finish, merge_partials, partial, reaggregate
+from foldspark.plans.engine import aggregate, finish, merge_partials, partial, partials_by, reaggregate
 from foldspark.plans.spec import AggSpec, StateCol
-from foldspark.sources.staging import decode_batch
+from foldspark.sources.staging import decode_batch, shared_path
 
 SCHEMA = "key string, count long"
 
@@ -84,7 +84,73 @@ def test_compaction_changes_nothing(spark):
     acc = acc_of(spark, [("a", 1), ("b", 2)], staged=True)
     acc.bulk_insert(spark.createDataFrame([("a", 5)], SCHEMA))
     acc.compact()
-    assert len(acc._parts) == 1 and as_dict(acc.snapshot()) == {"a": 6, "b": 2}
+    assert len(acc.parts) == 1 and as_dict(acc.snapshot()) == {"a": 6, "b": 2}
+
+
+def test_many_inserts_hold_few_tables(spark):
+    """A thousand inserts: few tables at any time, and the same result."""
+    acc = Accumulator(spark, counts(), fan=10)
+    one, states = spark.createDataFrame([("test", 1), ("other", 2)], SCHEMA), None
+    states = partial(one, counts())
+    states.write.mode("overwrite").parquet(path := f"{shared_path(spark, 'one')}")
+    states, first = spark.read.schema(states.schema).parquet(path), None
+    for n in range(1000):
+        acc.insert_states(states)
+        assert len(acc.parts) < 10 * 4
+        first = acc.snapshot() if n == 41 else first
+    assert len(acc.parts) == 1 and as_dict(acc.snapshot()) == {"test": 1000, "other": 2000}
+    assert as_dict(first) == {"test": 42, "other": 84}
+    for n in range(12):
+        acc.insert({"key": f"k{n}", "count": n})
+    acc.compact()
+    assert len(acc.parts) == 1 and len(as_dict(acc.snapshot())) == 14
+
+
+def test_pages_are_of_one_snapshot(spark):
+    acc = acc_of(spark, [(f"k{i % 60}", i) for i in range(300)] + [(None, 1)])
+    want = [(r[HASH], r["key"], r["count"]) for r in acc.cursor()]
+    pages = acc.pages(7)
+    got = [next(pages)]
+    acc.insert({"key": "late", "count": 1})
+    got += list(pages)
+    assert [len(p) for p in got] == [7] * 8 + [5]
+    assert [(r[HASH], r["key"], r["count"]) for p in got for r in p] == want
+    assert list(Accumulator(spark, counts()).pages(3)) == []
+    assert acc.read(after=(want[-1][0], want[-1][1])).count() <= 1
+
+
+def test_one_pass_over_many_batches(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], SCHEMA)
+    parts = partials_by(df, counts(), F.pmod(F.col("count"), F.lit(3)), 3)
+    assert [as_dict(p) for p in parts] == [{"b": 3}, {"a": 1, None: 4}, {"a": 2}]
+    with pytest.raises(Exception, match="no batch"):
+        partials_by(df, counts(), F.col("count"), 3)
+
+
+def test_the_hash_has_its_name(spark):
+    with pytest.raises(ValueError):
+        Accumulator(spark, AggSpec({"key_hash": F.col("key")}, (StateCol("n", F.lit(1)),)))
+
+
+def test_best_by_and_sketches(spark):
+    rows = [("a", 5), ("a", 9), ("b", None), ("a", 9), ("b", 2)]
+    spec = AggSpec(
+        {"key": F.col("key")},
+        (specs.best_by("top", F.col("count") % 4, F.col("count")), specs.best_by("low", F.col("count"), F.col("count"), False), StateCol("t", F.col("count"), "theta_union"), StateCol("q", F.col("count"), "kll_merge")),
+        {"top": F.col("top.value"), "low": F.col("low.value"), "about": F.theta_sketch_estimate("t"), "median": F.kll_sketch_get_quantile_bigint("q", F.lit(0.5))},
+    )
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = [partial(df.where(c), spec) for c in ("key = 'a' and count < 6", "not (key = 'a' and count < 6)")]
+    got = {r["key"]: (r["top"], r["low"], r["about"], r["median"]) for r in finish(merge_partials(parts, spec), spec).collect()}
+    assert got == {"a": (9, 5, 2, 9), "b": (2, None, 1, 2)}
+
+
+def test_load_by_name(spark):
+    made = specs.load("tests.test_engine:counts")
+    assert specs.load("tests.test_engine:counts") is made and specs.registered("tests.test_engine:counts") is made
+    for bad, error in (("nothing", ValueError), ("no.such.module:x", ImportError), ("tests.test_engine:as_dict", TypeError)):
+        with pytest.raises(error):
+            specs.load(bad)
 
 
 def test_wrong_batches_are_refused(spark):

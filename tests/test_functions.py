@@ -130,6 +130,51 @@ def test_packing():
         codecs.pack(np.array([2, 1]))
 
 
+def test_packing_continues_outliers():
+    """One wide delta does not widen the others; what cannot have been packed is refused."""
+    values = np.cumsum(np.array([3] * 1000 + [1 << 31] + [2] * 1000))
+    raw = codecs.pack(values)
+    assert codecs.unpack(raw).tolist() == values.tolist()
+    assert int(np.frombuffer(raw, "<u4")[0]) == 2 and len(raw) < 2001 * 3 / 8 + 40 < 2001 * 33 / 8
+    # by hand: deltas 1 and 6 at width 2: 01|0, then 10|1 and 01|0
+    assert codecs.unpack(np.array([2, 9, 0b010_101_010 << 23], "<u4").tobytes()).tolist() == [1, 7]
+    for bad in (b"", raw[:-1], raw[:-4], np.array([0, 0], "<u4").tobytes(), np.array([40, 0, 1], "<u4").tobytes(), np.array([2, 3, 1 << 29], "<u4").tobytes(), np.array([2, 3, 1], "<u4").tobytes()):
+        with pytest.raises(ValueError):
+            codecs.unpack(bad)
+    with pytest.raises(ValueError):
+        codecs.unpack(np.array([31, 0, *[M] * 32], "<u4").tobytes())
+
+
+def test_tables_with_ties(spark):
+    rows = [("a", 1, 5), ("a", 1, 5), ("a", 1, 3), ("a", 2, 9), ("a", 2, 9)]
+    df = spark.createDataFrame(rows, "k string, i int, v long").repartition(3)
+    runs = sorted((r.run, r.v, r.n) for r in codecs.rle_table(df, ["k"], "i", "v").collect())
+    assert runs == [(1, 3, 1), (2, 5, 2), (3, 9, 2)]
+    rows = [("a", 1, n, v) for n, v in enumerate([5, 1, 9, 9, 2])]
+    total = spark.createDataFrame(rows, "k string, i int, n int, v long").repartition(3)
+    back = codecs.undelta_table(codecs.delta_table(total, ["k"], ["i", "n"], "v"), ["k"], ["i", "n"], "delta").collect()
+    assert {r.n: r.value for r in back} == {n: v for _, _, n, v in rows}
+
+
+# Numbers and their hashes (six shifts, seven shifts, half avalanche), computed by hand from the published functions.
+INTEGER_HASHES = {
+    0: (1800329511, 0, 2901400889),
+    1: (3028713910, 3266786691, 3961971922),
+    2: (3798448204, 3910079064, 1979596172),
+    12345: (3058842707, 43351985, 3407062328),
+    2147483647: (3948364977, 3609731332, 693862245),
+    2147483648: (2122005522, 3261318340, 2540690745),
+    4294967295: (4268016002, 3582354520, 1088126821),
+    3735928559: (2146495194, 561645252, 402221532),
+}
+
+
+def test_integer_hash_vectors(spark):
+    df = spark.createDataFrame(list(enumerate(INTEGER_HASHES)), "i int, x long")
+    for k, f in enumerate((hashing.hashint_1, hashing.hashint_2, hashing.hashint_half)):
+        assert column(df, f(F.col("x"))) == [h[k] for h in INTEGER_HASHES.values()]
+
+
 def test_bits(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([0, 1, 255, M])], "i int, x long")
     assert column(df, codecs.nlz(F.col("x"))) == [32, 31, 24, 0]

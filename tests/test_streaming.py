@@ -115,3 +115,19 @@ def test_total_rows_of_more_batches_than_the_query_remembers(spark, tmp_path, ru
         assert metrics.total_rows(spark, query).first()["total_rows"] == 60
     finally:
         spark.conf.unset(kept)
+
+
+@pytest.mark.parametrize("run", [ingest.run_complete, ingest.run_partials])
+def test_streams_without_files(spark, tmp_path, run):
+    (tmp_path / "in").mkdir()
+    result, _ = run(ingest.watched_stream(spark, str(tmp_path / "in"), SCHEMA), counts())
+    assert result.columns == ["key", "count"] and result.count() == 0
+
+
+@pytest.mark.parametrize("run", [ingest.run_complete, ingest.run_partials])
+def test_a_key_called_batch(spark, tmp_path, run):
+    folder = str(tmp_path / "in")
+    ingest.send_batches([spark.createDataFrame([("x", 1), ("y", 2)], SCHEMA), spark.createDataFrame([("x", 5)], SCHEMA)], folder)
+    spec = AggSpec({"batch": F.col("key")}, (StateCol("count", F.col("count")),))
+    result, _ = run(ingest.watched_stream(spark, folder, SCHEMA, 1), spec)
+    assert {r["batch"]: r["count"] for r in result.collect()} == {"x": 6, "y": 2}
