@@ -15,8 +15,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from .scratch import packed, parts, table, with_row
+from .scratch import Batches, lean, packed, parts, sliced, table, with_row
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Keys held by more than one in HOT of all (document, key) entries are broadcast; there are fewer than HOT of them.
@@ -42,8 +40,8 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _keys(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches, "text"):
             ids, rows, h = batch.column("doc_id"), [], []
             for at, text in enumerate(batch.column("text")):
                 if text.is_valid:
@@ -56,7 +54,7 @@ def _keys(min_chars: int):
                 [ids.take(pa.array(rows, pa.int64())), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "h1", "h2"]
             )
 
-    return run
+    return lean(run)
 
 
 # ------------------------------------------------------- minimal perfect hash
@@ -125,7 +123,7 @@ class PerfectHash:
 _INDEX = "shard long, kind int, sizes binary, bits binary, prints binary, counts binary, keepers binary, doc_id long, h1 long, h2 long"
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(batches: Batches) -> Batches:
     """Rows (shard, h1, h2, n, keeper) sorted by shard to one index row a shard."""
 
     def index(shard, h1, h2, n, keeper):
@@ -157,7 +155,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield index(int(held[0][0]), *held[1:])
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Batches) -> Batches:
     """An index row, then its shard's probes, shard after shard, to (doc_id, h1, h2) that are to drop."""
     shard, mph = None, None
     for batch in batches:
@@ -185,8 +183,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewrite(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches, "_text"):
             texts, lines_in, dropped = [], [], []
             for text, drops in zip(batch.column("_text"), batch.column("_drops"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -204,7 +202,7 @@ def _rewrite(min_chars: int):
                 ["row", "text", "n_lines", "n_dropped"],
             )
 
-    return run
+    return lean(run)
 
 
 def drops(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -223,10 +221,10 @@ def drops(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     from_hot = entries.join(F.broadcast(hot), keys).where(F.col("doc_id") < F.col("keeper")).select("doc_id", *keys)
     n = parts(spark)
     shard = F.pmod("h2", F.lit(max(8 * n, -(-many // SHARD)))).alias("shard")
-    index = rare.select(shard, *keys, "n", "keeper").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_build, _INDEX)
+    index = rare.select(shard, *keys, "n", "keeper").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lean(_build), _INDEX)
     probes = entries.join(F.broadcast(hot.select(*keys)), keys, "left_anti").select(shard, F.lit(1).alias("kind"), "doc_id", *keys)
     both = index.unionByName(probes, allowMissingColumns=True).repartition(n, "shard").sortWithinPartitions("shard", "kind")
-    return both.mapInArrow(_probe, "doc_id long, h1 long, h2 long").unionByName(from_hot)
+    return both.mapInArrow(lean(_probe), "doc_id long, h1 long, h2 long").unionByName(from_hot)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:

@@ -26,8 +26,8 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import parts, table
+from .memo import Memo
+from .scratch import Batches, lean, parts, sliced, table
 from .tokencount import _byte_alphabet
 
 LENGTH = 2048
-#: Words a worker remembers before it forgets them all.
-MEMO = 500_000
 
 
-class WordBpe(dict):
+class WordBpe(Memo):
     """White-space word to the bytes of its ids (little-endian unsigned 32-bit), as the library gives them.
 
     The vocabulary drops white space and no rule of it looks across white
-    space, so a text's ids are those of its words.  Words of Latin letters,
-    digits and ASCII marks are merged here; any other word (and any word with
-    a special token's mark) is left to the library as it stands.
+    space, so a text's ids are those of its words.  Texts of Latin letters,
+    digits and ASCII marks are merged as a whole, every piece of them closed by
+    ``END``.  Other texts go word by word; a word of other letters (or with a
+    special token's mark) is left to the library as it stands.
     """
 
-    END = b"\xff"  # stands for the end-of-word mark; no UTF-8 text has this byte
+    END = b"\0"  # stands for the end-of-word mark; the texts that are merged here do not have it
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(self._ids)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         alphabet, mark = _byte_alphabet(), spec["model"]["end_of_word_suffix"]
 
         def raw(token: str) -> bytes:
@@ -75,30 +74,32 @@ class WordBpe(dict):
         order = [*singles, *ends, *merged]  # the rank: a last byte takes its end mark before any merge
         ranks = {raw(t): n for n, t in enumerate(order)}
         ranks.setdefault(self.END, len(order))
-        self.ids = [vocab[t] for t in order]
+        self.ids = np.array([vocab[t] for t in order], "<u4")
         for b in range(256):
             ranks.setdefault(bytes([b]), len(ranks))
-        self._merge = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.plain = re.compile(r"[!-;=-~¡-ÖØ-öø-ſ]+").fullmatch
+        # white space between the closed pieces matches nothing and is passed over; the special token never occurs
+        merging = tiktoken.Encoding("words", pat_str=r"[^\s\x00]+\x00", mergeable_ranks=ranks, special_tokens={"\0\0": max(ranks.values()) + 1})
+        self._merge = merging.encode_to_numpy
+        self.plain = re.compile(r"[!-;=-~¡-ÖØ-öø-įı-ſ \t-\r\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u3000]*").fullmatch  # without I with a dot, which has two lower-case letters
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind in "LN":  # the letters and numbers of plain texts, spelt out
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(c for c in map(chr, range(0x180)) if category(c).startswith(kind)))
+        self.pieces = re.compile(pattern).findall
         self.odd_space = re.compile(r"[\x1c-\x1f]").search
         self.space = regex.compile(r"[^\p{White_Space}]+").findall
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        if not self.plain(word) or "İ" in word:
-            ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        elif (low := word.lower()) != word:
-            ids = self[low]
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = array("I", [self.ids[n] for p in self.pieces(word) for n in self._merge(p.encode() + self.END)]).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def _merged(self, plain: str) -> bytes:
+        closed = "\0".join([*self.pieces(plain.lower()), ""])
+        return self.ids[self._merge(closed, disallowed_special=())].tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        if self.plain(word):
+            return self._merged(word)
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.plain(text):
+            return self._merged(text)
         words = self.space(text) if self.odd_space(text) else text.split()
         return b"".join(map(self.__getitem__, words))
 
@@ -112,16 +113,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
     """(doc_id, piece, start, length, ids_crc32[, ids]): each row's tokens and a closing id 0, cut at ``length``."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         bpe = _load(path)
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             rows, made = [], []
             for at, text in enumerate(batch.column("_text")):
                 ids = bpe.encode(text.as_py()) + b"\0\0\0\0"
                 for n, start in enumerate(range(0, len(ids), 4 * length)):
                     cut = ids[start : start + 4 * length]
                     rows.append(at)
-                    made.append((n, start // 4, len(cut) // 4, zlib.crc32(cut), cut))
+                    made.append((n, start // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else b""))
             column = lambda k, kind: pa.array([x[k] for x in made], kind)
             out = [batch.column("doc_id").take(pa.array(rows, pa.int64())), column(0, pa.int32())]
             out += [column(k, pa.int64()) for k in (1, 2, 3)]
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
 
     picked = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return picked.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -174,7 +175,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 6)
 
 
-def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_ranks(batches: Batches) -> Batches:
     """Rows sorted by length get their rank within the length, within this partition."""
     from pyspark import TaskContext
 
@@ -194,16 +195,17 @@ def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _place(plan: np.ndarray, bases: dict[tuple[int, int], int]):
+def _place(plan: np.ndarray, bases: np.ndarray):
+    """``bases`` has rows (partition, length, first rank), sorted."""
     key = plan[:, 0] * (1 << 40) + plan[:, 1]
     order = np.argsort(key)
     plan, key = plan[order], key[order]
+    at = bases[:, 0] * (1 << 20) + bases[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             sizes, part, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_part", "_rank"))
-            base = np.fromiter((bases[p, n] for p, n in zip(part.tolist(), sizes.tolist(), strict=True)), np.int64, len(sizes))
-            rank = rank + base
+            rank = rank + bases[np.searchsorted(at, part.astype(np.int64) * (1 << 20) + sizes), 2]
             _, first, _, each, sequence, offset = plan[np.searchsorted(key, sizes * (1 << 40) + rank, side="right") - 1].T
             step, place = np.divmod(rank - first, np.maximum(each, 1))
             names = [n for n in batch.schema.names if n not in ("_part", "_rank")]
@@ -212,7 +214,7 @@ def _place(plan: np.ndarray, bases: dict[tuple[int, int], int]):
                 [*names, "sequence_id", "offset"],
             )
 
-    return run
+    return lean(run)
 
 
 def pack(rows: DataFrame, order: list[str], capacity: int = LENGTH) -> DataFrame:
@@ -226,14 +228,15 @@ def pack(rows: DataFrame, order: list[str], capacity: int = LENGTH) -> DataFrame
     keys = [F.col("length").desc(), *(F.col(c) for c in order)]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ranked = table(ranged.mapInArrow(_local_ranks, f"{kinds}, _part int, _rank long"), "ranked-pieces")
+    ranked = table(ranged.mapInArrow(lean(_local_ranks), f"{kinds}, _part int, _rank long"), "ranked-pieces")
     # range-sorted: at most one row more than lengths for each partition
     counts = ranked.groupBy("_part", "length").agg(F.count("*").alias("n")).collect()
     totals: dict[int, int] = {}
-    bases = {}
+    bases = []
     for part, length, number in sorted(map(tuple, counts)):
-        bases[part, length] = totals.get(length, 0)
-        totals[length] = bases[part, length] + number
+        bases.append((part, length, totals.get(length, 0)))
+        totals[length] = bases[-1][2] + number
+    bases = np.array(bases, dtype=np.int64).reshape(-1, 3)
     plan = best_fit(totals, capacity)
     if not len(plan):
         plan = np.zeros((1, 6), np.int64)

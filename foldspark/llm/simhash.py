@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import parts, table
+from .scratch import Batches, lean, parts, sliced, table
 
 RADIUS = 3
 #: Most classes of one bucket side which are compared in one task step.
@@ -63,8 +63,8 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _fingerprints(batches: Batches) -> Batches:
+    for batch in sliced(batches, "text"):
         texts = batch.column("text")
         fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return picked.mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------ comparison
@@ -166,7 +166,7 @@ def _link_groups(fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> Itera
         yield nodes[joined], nodes[root[joined]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Batches) -> Batches:
     """Rows (bucket, fp, node) sorted by bucket to spanning links (a, b)."""
 
     def complete(bucket, fp, node):
@@ -207,7 +207,7 @@ def links(classes: DataFrame) -> DataFrame:
     pairs = tagged.select("fp", "node", "key", mine.alias("mine"), F.explode(other).alias("other"))
     bucket = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     spread = pairs.select(bucket.alias("bucket"), "fp", "node").repartition(parts(spark), "bucket")
-    return spread.sortWithinPartitions("bucket").mapInArrow(_compare, "a long, b long").distinct()
+    return spread.sortWithinPartitions("bucket").mapInArrow(lean(_compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
