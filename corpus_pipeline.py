@@ -1,8 +1,14 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept.  All but the last return the columns of ``documents``, with n_chars
-counted again where the text may have changed.
+kept.  All but the last return the columns of ``docs``, whatever these are, with
+n_chars, if it is one of them, counted again where the text may have changed.
+
+Rows with a null doc_id are judged and packed like any others; line and near
+dedup keep them whole, and for substring dedup they come after all others.  A
+null text is an empty one, and fails the quality rules; one that becomes empty
+later goes on as an empty document.  Rows that repeat come back as often as the
+stage keeps them.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,9 +24,9 @@ from foldspark.sources.staging import spread
 
 
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """``out`` with the columns and types of ``docs``, n_chars being the length of its text."""
-    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*(length if c == "n_chars" else F.col(c) for c in docs.columns))
+    """``out`` with the columns and types of ``docs``, n_chars, where there is one, being the length of its text."""
+    kind = {f.name: f.dataType for f in docs.schema}
+    return out.select(*(F.length("text").cast(kind[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
