@@ -261,6 +261,11 @@ def fnv1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", hashing.fnv1(F.col("lang")).alias("hash"))
 
 
+@query
+def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.col("source")).alias("hash"))
+
+
 def _int_hash(f: Callable[[Column], Column]) -> Query:
     return lambda spark, sf_dir: read(spark, sf_dir, "orders").select("o_orderkey", f(F.col("o_orderkey")).alias("hash"))
 

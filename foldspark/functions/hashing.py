@@ -16,6 +16,7 @@ LOOKUP3_START = 0xDEADBEEF
 LOOKUP3_MIX = (4, 6, 8, 16, 19, 4)
 LOOKUP3_FINAL = (14, 11, 25, 16, 4, 14, 24)
 FNV1_START, FNV1_PRIME = 0x811C9DC5, 0x01000193
+FNV1_START_64, FNV1_PRIME_64 = 0xCBF29CE484222325, 0x100000001B3
 
 
 def by_length(column: pa.Array, hash_block: Callable[[np.ndarray], list[np.ndarray]], width: int = 1) -> list[np.ndarray]:
@@ -83,11 +84,15 @@ def lookup3_block(block: np.ndarray, seed1: int, seed2: int) -> list[np.ndarray]
     return [s[2], s[1]]
 
 
-def fnv1_block(block: np.ndarray) -> np.ndarray:
-    h = np.full(len(block), FNV1_START, np.uint32)
-    for i in range(block.shape[1]):
-        h = (h * np.uint32(FNV1_PRIME)) ^ block[:, i].astype(np.uint32)
-    return h
+def fnv1_block(block: np.ndarray, xor_first: bool = False, wide: bool = False) -> np.ndarray:
+    kind = np.uint64 if wide else np.uint32
+    start, prime = (FNV1_START_64, FNV1_PRIME_64) if wide else (FNV1_START, FNV1_PRIME)
+    h = np.full(len(block), start, kind)
+    with np.errstate(over="ignore"):
+        for i in range(block.shape[1]):
+            byte = block[:, i].astype(kind)
+            h = (h ^ byte) * kind(prime) if xor_first else (h * kind(prime)) ^ byte
+    return h.view(np.int64) if wide else h
 
 
 def _string_udf(hash_block: Callable[[np.ndarray], list[np.ndarray]]):
@@ -132,6 +137,16 @@ def fnv1(column: Column) -> Column:
     return _string_udf(lambda b: [fnv1_block(b)])(column)
 
 
+def fnv1a(column: Column) -> Column:
+    """FNV-1a (xor, then multiply) of the UTF-8 bytes."""
+    return _string_udf(lambda b: [fnv1_block(b, xor_first=True)])(column)
+
+
+def fnv1_64(column: Column, xor_first: bool = False) -> Column:
+    """FNV-1, or FNV-1a with ``xor_first``, of 64 bits, as a signed long."""
+    return _string_udf(lambda b: [fnv1_block(b, xor_first, wide=True)])(column)
+
+
 def hash_by(name: str, column: Column, seed: int = 0) -> Column:
     """A hash function by name: ``murmur`` or ``bob``."""
     return {"murmur": murmur2, "bob": bob}[name](column, seed)

@@ -120,6 +120,8 @@ ORACLE: dict[str, str] = {
     "nullhash": f"SELECT p_partkey, {_nullhash(0)}, {_nullhash(2)}, 0::BIGINT AS h50 FROM part",
     "fnv1": f"SELECT doc_id, list_reduce(list_prepend({hashing.FNV1_START}::BIGINT, list_transform(range(0, strlen(lang)), "
     f"lambda i: ('0x' || substr(hex(lang), 2 * i + 1, 2))::BIGINT)), lambda h, b: xor((h * {hashing.FNV1_PRIME}) & {MASK}, b)) AS hash FROM documents",
+    "fnv1a": "SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(0, strlen(source)), "
+    "lambda i: ('0x' || substr(hex(source), 2 * i + 1, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM documents",
     "hashint_1": _int_hash(hashing.AVALANCHE_1),
     "hashint_2": _int_hash(hashing.AVALANCHE_2),
     "hashint_half": _int_hash(hashing.AVALANCHE_HALF),

@@ -67,6 +67,14 @@ def test_fnv1_published_vectors(spark):
     assert column(df, hashing.fnv1(F.col("t"))) == [0x811C9DC5, 0x050C5D7E, 0x31F0B262]
 
 
+def test_fnv_variants_published_vectors(spark):
+    df = spark.createDataFrame([(0, ""), (1, "a"), (2, "foobar"), (3, None)], "i int, t string")
+    assert column(df, hashing.fnv1a(F.col("t"))) == [0x811C9DC5, 0xE40C292C, 0xBF9CF968, None]
+    unsigned = lambda c: [None if h is None else h % (1 << 64) for h in column(df, c)]
+    assert unsigned(hashing.fnv1_64(F.col("t"))) == [0xCBF29CE484222325, 0xAF63BD4C8601B7BE, 0x340D8765A4DDA9C2, None]
+    assert unsigned(hashing.fnv1_64(F.col("t"), True)) == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8, None]
+
+
 def test_digram(spark):
     rows = ["long-a", "a-long", "same-size", "plain", "-", "a-b-c"]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
