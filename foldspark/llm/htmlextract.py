@@ -11,7 +11,8 @@
    than a part of that container, together with what its own container has under
    the same parent; a page without one uses its own.
 
-Elements with telling class names are left out.  Inside an article a name must be
+Elements with telling class names are left out, and so are blocks outside an
+article that are rows of links.  Inside an article a name must be
 made up of such words altogether: related-posts goes, related-work stays.  A page
 is parsed once for its vote and once for its text: parsing is most of the work,
 but keeping the blocks in between would write the corpus out once more.
@@ -35,6 +36,8 @@ from .scratch import Batches, lean, packed, sliced, table, with_row
 SHARE = 0.05
 #: Part of the page's own best text that a winning path must hold.
 FAIR = 0.5
+#: So many links, with next to nothing between them, make a block outside an article a menu.
+MENU = 3
 
 # Kinds of tags.
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object", "canvas", "annotation", "annotation-xml"}
@@ -126,19 +129,20 @@ class Page:
         stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
         open_tags: Counter[str] = Counter()
         text: list[str] = []
-        linked = depth_a = at = 0
+        linked = links = depth_a = at = 0
 
         def flush() -> None:
-            nonlocal linked
+            nonlocal linked, links
             if text:
                 joined = "".join(text)
                 if "&" in joined:
                     joined = references.unescape(joined)
                 clean = " ".join(joined.split())
-                if clean:
+                menu = links >= MENU and not stack[-1][4] and 10 * linked >= 9 * sum(map(str.isalnum, clean))
+                if clean and not menu:
                     blocks.append((clean, linked, stack[-1][3]))
                 text.clear()
-            linked = 0
+            linked = links = 0
 
         def push(*element) -> None:
             stack.append(element)
@@ -184,6 +188,7 @@ class Page:
                 continue
             if tag == "a":
                 depth_a = 1
+                links += not stack[-1][2]
                 continue
             if tag in VOID:
                 if tag in BLOCK:
