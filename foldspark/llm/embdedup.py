@@ -14,9 +14,9 @@
    of the bisector between the two centroids.  What part of a displacement can
    point across a bisector depends on the data: 1 / sqrt(d) or so where vectors
    differ in all directions, all of it where they lie in few dimensions.  It is
-   measured on the sample, between the displacements to its nearest neighbours
-   and the directions to its nearest centroids; a list is probed if its side is
-   at most that far away.  ``reach=1`` probes every list that can hold a partner.
+   measured on the sample, on pairs within the radius that lie in different
+   lists, and a list is probed if its side is at most as far away as all but a
+   few of these need.  ``reach=1`` probes every list that can hold a partner.
 5. In a list, asymmetric table look-ups give the distance to each member's
    codes.  A partner's is at most ``r`` plus what its codes miss; the rest is
    dropped (this loses no partner), and the exact cosine in double precision
@@ -45,8 +45,10 @@ COARSE, FINE = 2048, 32
 SUBSPACES = 8
 #: Members and queries of one task step, at most.
 TILE, BLOCK = 4096, 4096
-#: Share of the measured directions that the fitted reach covers.
-COVERED = 0.999
+#: Of the sample, vectors that are asked for pairs to fit the reach, and pairs in different lists that this takes.
+ASKED, PAIRS = 2048, 1000
+#: Share of them that the fitted reach covers, and the room that is added.
+COVERED, MARGIN = 0.998, 1.05
 #: Room for rounding in single precision.
 SLACK = 1e-3
 
@@ -100,12 +102,33 @@ class Model:
         self.cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [kmeans(residual[:, cut], min(256, len(x))) for cut in self.cuts]
         self.apart, self.fine_apart = _apart(self.coarse), _apart(self.fine)
-        self.reach = self.radius * (self._fitted(x) if reach is None else min(1.0, reach))
+        self.reach = self._fitted(x, own) if reach is None else self.radius * min(1.0, reach)
 
-    def _fitted(self, x: np.ndarray) -> float:
-        """The part of a displacement that points across a bisector, in all but a few cases; 1 where the sample is too small to tell."""
+    def _fitted(self, x: np.ndarray, own: np.ndarray) -> float:
+        """How far across a bisector all but a few partners lie.
+
+        Measured on the sample's own pairs within the radius where there are
+        enough.  Else, of its nearest neighbours, the parts of displacements that
+        point to near centroids, at the full radius; the radius itself where the
+        sample is too small to tell.
+        """
         if len(x) < 64 or len(self.coarse) < 2:
-            return 1.0
+            return self.radius
+        crossed = []
+        for at in range(0, min(len(x), ASKED), 256):
+            ask = x[at : at + 256]
+            i, j = np.nonzero(ask @ x.T >= 1 - self.radius**2 / 2)
+            i, j = i[i + at != j], j[i + at != j]
+            far = _beyond(ask, own[at : at + 256], self.coarse, self.apart)[i, own[j]]
+            for a in range(0, len(i) if len(self.fine) > 1 else 0, 8192):  # and among the second level's, in the partner's list
+                p, q = i[a : a + 8192], j[a : a + 8192]
+                here, there = ask[p] - self.coarse[own[q]], x[q] - self.coarse[own[q]]
+                second = _beyond(here, _nearest(here, self.fine), self.fine, self.fine_apart)[np.arange(len(p)), _nearest(there, self.fine)]
+                far[a : a + 8192] = np.maximum(far[a : a + 8192], second)
+            crossed.append(far)
+        crossed = np.concatenate(crossed) if crossed else np.zeros(0)
+        if (crossed > 0).sum() >= PAIRS:
+            return float(min(self.radius, MARGIN * np.quantile(crossed[crossed > 0], COVERED)))
         ask = x[:1024]
         near = ((x[:8192] ** 2).sum(axis=1)[None, :] - 2 * ask @ x[:8192].T).argpartition(8, axis=1)[:, :9]
         moves = x[near] - ask[:, None, :]
@@ -116,7 +139,7 @@ class Model:
         towards = self.coarse[others[:, 1:]] - self.coarse[others[:, :1]]
         towards /= np.maximum(np.sqrt((towards**2).sum(axis=2)), 1e-9)[:, :, None]
         parts = np.abs(np.einsum("qmd,qcd->qmc", moves, towards))[size > 1e-6]
-        return float(min(1.0, np.quantile(parts, COVERED))) if parts.size >= 1000 else 1.0
+        return self.radius * float(min(1.0, np.quantile(parts, COVERED))) if parts.size >= PAIRS else self.radius
 
     @property
     def lists(self) -> int:
