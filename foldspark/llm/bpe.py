@@ -7,15 +7,15 @@ stitch walks the chunks of a document in order and looks, in the overlap, for
 the first boundary which the chunk before it has as well: from a common
 boundary on both see the same text and so have the same pre-tokens.  Where an
 overlap holds no common boundary the open end is pre-tokenised again together
-with the next chunk.  The pieces are then encoded one by one.  A text of one
-chunk takes the same path without the shuffle.  Decoding looks up the raw bytes
-of each id and concatenates them.
+with the next chunk.  The runs of pre-tokens between boundaries are dealt out
+again, encoded piece by piece, and the ids of a document concatenated.  A text
+of one chunk has nothing to stitch and is encoded at once.  Decoding looks up
+the raw bytes of each id and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,28 +25,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import parts, table
+from .memo import Memo
+from .scratch import Batches, lean, parts, sliced, table
 
 CHUNK = 32_768
 OVERLAP = 1_024
-#: Pieces a worker remembers before it forgets them all.
-MEMO = 200_000
-
-
-class _Memo(dict):
-    """Piece to the bytes of its ids, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.encode(piece), dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
 
 
 class Bpe:
@@ -55,20 +38,28 @@ class Bpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        # the whole piece is one match already, so the library only has the merges left to do
-        whole = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.memo = _Memo(whole.encode_ordinary)
+        self.pieces = regex.compile(pattern).findall
+        unused = {"\0\0": max(ranks.values(), default=0) + 1}  # the library wants a special token; it is never allowed in a text
+        self._all = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens=unused).encode_to_numpy
+        self._one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.memo = Memo(lambda piece: np.array(self._one(piece), "<u4").tobytes())
         self.bytes_of = dict(map(reversed, ranks.items()))
 
-    def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, pre-tokens and merges in one go, as little-endian unsigned 32-bit integers."""
+        return self._all(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def encode(self, pieces: list[str]) -> bytes:
+    def encode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.memo.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    def decode(self, ids: bytes) -> bytes | None:
+        """The raw bytes of the ids; None where they are no ids of this vocabulary."""
+        if len(ids) % 4:
+            return None
+        try:
+            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        except KeyError:
+            return None
 
 
 @lru_cache(maxsize=4)
@@ -127,60 +118,99 @@ class Stitch:
 
 
 def _whole(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         bpe = _load(path, pattern)
-        for batch in batches:
-            ids = [bpe.encode(bpe.pieces(t.as_py())) for t in batch.column("_text")]
+        for batch in sliced(batches, "_text"):
+            ids = [bpe.encode(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ids, pa.binary())], ["_row", "ids"])
 
-    return run
+    return lean(run)
 
 
 def _chunks(size: int, overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for row, text in zip(batch.column("_row"), batch.column("_text"), strict=True):
                 made = cut(text.as_py(), size, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row.as_py()] * len(made)),
-                        pa.array([s for s, _ in made], pa.int64()),
-                        pa.array([k == len(made) - 1 for k in range(len(made))]),
-                        pa.array([c for _, c in made]),
-                    ],
-                    ["_row", "start", "last", "chunk"],
-                )
+                for at in range(0, len(made), 64):
+                    some = made[at : at + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row.as_py()] * len(some)),
+                            pa.array([s for s, _ in some], pa.int64()),
+                            pa.array([at + k == len(made) - 1 for k in range(len(some))]),
+                            pa.array([c for _, c in some]),
+                        ],
+                        ["_row", "start", "last", "chunk"],
+                    )
 
-    return run
+    return lean(run)
 
 
 def _pretokenise(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         bpe = _load(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, "chunk"):
             sizes = [np.array([len(p) for p in bpe.pieces(c.as_py())], "<u4").tobytes() for c in batch.column("chunk")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.binary())], [*batch.schema.names, "sizes"])
 
-    return run
+    return lean(run)
 
 
 def _stitch(path: str, pattern: str, overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, stitch, ids = _load(path, pattern), None, []
-        for batch in batches:
-            rows, out = [], []
-            for x in batch.to_pylist():
-                if x["start"] == 0:
-                    stitch, ids = Stitch(bpe.pieces, overlap), []
-                ends = np.cumsum(np.frombuffer(x["sizes"], "<u4"), dtype=np.int64).tolist()
-                pieces = [x["chunk"][a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-                ids.append(bpe.encode(stitch.add(x["start"], x["chunk"], pieces, x["last"])))
-                if x["last"]:
-                    rows.append(x["_row"])
-                    out.append(b"".join(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], ["_row", "ids"])
-
-    return run
+    """Chunks of a document in order to the runs of pre-tokens that each makes certain: (_row, part, run, sizes)."""
+
+    def run(batches: Batches) -> Batches:
+        bpe, stitch = _load(path, pattern), None
+        for batch in sliced(batches, "chunk"):
+            rows, parts_, runs, lengths = [], [], [], []
+            for row, start, last, chunk, sizes in zip(*(batch.column(c) for c in ("_row", "start", "last", "chunk", "sizes")), strict=True):
+                start, text = start.as_py(), chunk.as_py()
+                if start == 0:
+                    stitch = Stitch(bpe.pieces, overlap)
+                ends = np.cumsum(np.frombuffer(sizes.as_buffer().to_pybytes(), "<u4"), dtype=np.int64).tolist()
+                pieces = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+                sure = stitch.add(start, text, pieces, last.as_py())
+                rows.append(row.as_py())
+                parts_.append(start)
+                runs.append("".join(sure))
+                lengths.append(np.array([len(p) for p in sure], "<u4").tobytes())
+            columns = [pa.array(rows, pa.int64()), pa.array(parts_, pa.int64()), pa.array(runs, pa.string()), pa.array(lengths, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "part", "run", "sizes"])
+
+    return lean(run)
+
+
+def _merge(path: str, pattern: str):
+    """Runs of pre-tokens to their ids."""
+
+    def run(batches: Batches) -> Batches:
+        bpe = _load(path, pattern)
+        for batch in sliced(batches, "run"):
+            ids = []
+            for text, sizes in zip(batch.column("run"), batch.column("sizes"), strict=True):
+                text, ends = text.as_py(), np.cumsum(np.frombuffer(sizes.as_buffer().to_pybytes(), "<u4"), dtype=np.int64).tolist()
+                ids.append(bpe.encode_pieces([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("part"), pa.array(ids, pa.binary())], ["_row", "part", "ids"])
+
+    return lean(run)
+
+
+def _concat(batches: Batches) -> Batches:
+    """Rows sorted by (_row, part) to one row a document."""
+    row, held = None, []
+    for batch in batches:
+        rows, out = [], []
+        for own, ids in zip(batch.column("_row").to_pylist(), batch.column("ids"), strict=True):
+            if own != row and held:
+                rows.append(row)
+                out.append(b"".join(held))
+                held = []
+            row = own
+            held.append(ids.as_buffer().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], ["_row", "ids"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["_row", "ids"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -213,20 +243,27 @@ def _long(made: DataFrame, path: str, pattern: str, chunk: int, overlap: int) ->
     dealt = chunks.repartition(n, "_row", "start")
     cut_up = dealt.mapInArrow(_pretokenise(path, pattern), "_row long, start long, last boolean, chunk string, sizes binary")
     ordered = cut_up.repartition(n, "_row").sortWithinPartitions("_row", "start")
-    ids = ordered.mapInArrow(_stitch(path, pattern, overlap), "_row long, ids binary")
+    # only boundaries are settled document by document; the merges are dealt out again, run by run
+    runs = ordered.mapInArrow(_stitch(path, pattern, overlap), "_row long, part long, run string, sizes binary")
+    merged = runs.repartition(n, "_row", "part").mapInArrow(_merge(path, pattern), "_row long, part long, ids binary")
+    ids = merged.repartition(n, "_row").sortWithinPartitions("_row", "part").mapInArrow(lean(_concat), "_row long, ids binary")
     return held.select("_row", "doc_id").join(ids, "_row").select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with a column decoded: the raw bytes of ``ids``, null where ids is null."""
+    """``encoded`` with a column decoded: the raw bytes of ``ids``.
+
+    It is null where ids is null, is no whole number of 32-bit ids or holds an
+    id that the vocabulary does not have.  A column called decoded is replaced.
+    """
     names = [c for c in encoded.columns if c != "decoded"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         bpe = _load(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, "ids"):
             raw = [bpe.decode(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "decoded"])
 
     picked = encoded.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, f"{schema}, decoded binary")
+    return picked.mapInArrow(lean(run), f"{schema}, decoded binary")
