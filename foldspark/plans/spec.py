@@ -76,6 +76,20 @@ class AggSpec:
                 raise ValueError(f"no merge called {s.merge!r}; known: {sorted(MERGES)}")
 
 
+def register_merge(name: str, merge: Callable[[Column], Column], first: Callable[[Column], Column] | None = None) -> None:
+    """Make a merge of one's own known by name.
+
+    ``merge`` folds a column of states to one, whatever their type (a struct, or
+    bytes in a format of one's own), and must be commutative and associative;
+    ``first`` folds what is lifted from rows, where that is not the same.
+    """
+    if name in MERGES:
+        raise ValueError(f"there is a merge called {name!r}")
+    MERGES[name] = merge
+    if first is not None:
+        FIRST[name] = first
+
+
 _registry: dict[str, AggSpec] = {}
 
 

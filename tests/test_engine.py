@@ -145,6 +145,17 @@ def test_best_by_and_sketches(spark):
     assert got == {"a": (9, 5, 2, 9), "b": (2, None, 1, 2)}
 
 
+def test_a_merge_of_one_s_own(spark):
+    """Bytes as states: the longest run of the letter x, kept as text in bytes."""
+    name = f"longest_{random.random()}"
+    specs.register_merge(name, lambda c: F.max(c), lambda c: F.max(F.regexp_extract(c, "x*", 0).cast("binary")))
+    with pytest.raises(ValueError):
+        specs.register_merge(name, F.max)
+    spec = AggSpec({"key": F.lit(1)}, (StateCol("run", F.col("t"), name),), {"n": F.octet_length("run")})
+    parts = [partial(spark.createDataFrame([(t,)], "t string"), spec) for t in ("xx", "xxxx", "x")]
+    assert [r["n"] for r in finish(merge_partials(parts, spec), spec).collect()] == [4]
+
+
 def test_load_by_name(spark):
     made = specs.load("tests.test_engine:counts")
     assert specs.load("tests.test_engine:counts") is made and specs.registered("tests.test_engine:counts") is made
