@@ -306,8 +306,13 @@ def _cut(normalise: bool):
     return lean(run)
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_at, _cuts): what each document loses.  ``docs(_ord, _text)``, the text as binary."""
+def spans(docs: DataFrame, length: int, shipped: DataFrame) -> DataFrame:
+    """(_at, _cuts): what each document loses.  ``docs(_ord, _text)``, the text as binary.
+
+    ``shipped`` has the same rows with ``squeezed`` texts.  All its columns are
+    taken along, needed or not: the caller's own join by _ord then finds the
+    same exchange, and texts are shuffled once.
+    """
     n = parts(docs.sparkSession)
     kind = "_ord long, _key binary, _tag long, _size long, anchors array<long>"
     listed = table(docs.mapInArrow(_list_anchors(length), kind), "anchors")
@@ -319,8 +324,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counted = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > FREQUENT).alias("frequent"))
     own = entries.join(counted, "anchor").groupBy("_ord").agg(F.collect_set(F.struct("anchor", "frequent")).alias("_found"))
     found = own.join(firsts, own["_ord"] == firsts["first"]).select(F.col("first").alias("_at"), "_tag", "_found")
-    small = squeezed(docs.where("_text is not null").select("_ord", "_text"), "_text")
-    texts = small.join(found, small["_ord"] == found["_at"]).select("_ord", "_tag", "_found", "_text").sortWithinPartitions("_ord", "_tag")
+    texts = shipped.join(found, shipped["_ord"] == found["_at"]).drop("_at").sortWithinPartitions("_ord", "_tag")
     dealt = texts.mapInArrow(_stretches(length), _STRETCH).repartition(n, "route").sortWithinPartitions("route", "ord", "tag", "start")
     cuts = dealt.mapInArrow(_repeated(length), "ord long, tag long, s int, e int")
     cuts = cuts.groupBy("ord", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
@@ -343,9 +347,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, normalise: bool = Tr
     or n_removed are replaced, others come back as they are.
     """
     order = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
-    cuts = spans(docs.select(order.alias("_ord"), docs["text"].cast("binary").alias("_text")), length)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     own = squeezed(docs.select(packed(docs, rest), order.alias("_ord"), docs["text"].cast("binary").alias("_text")), "_text")
+    cuts = spans(docs.select(order.alias("_ord"), docs["text"].cast("binary").alias("_text")), length, own)
     joined = own.join(cuts, own["_ord"] == cuts["_at"], "left").select("row", "_text", "_cuts")
     schema = with_row(joined, text=StringType(), n_words=LongType(), n_removed=LongType())
     out = joined.mapInArrow(_cut(normalise), schema)
