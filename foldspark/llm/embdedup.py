@@ -97,7 +97,7 @@ class Model:
         self.coarse = kmeans(x, max(1, min(len(x) // 16, wanted, COARSE)))
         own = _nearest(x, self.coarse)
         residual = x - self.coarse[own]
-        self.fine = kmeans(residual, min(FINE, -(-wanted // len(self.coarse)))) if wanted > COARSE else np.zeros((1, x.shape[1]))
+        self.fine = kmeans(residual, min(FINE, -(-wanted // len(self.coarse)))) if wanted > 2 * len(self.coarse) else np.zeros((1, x.shape[1]))
         residual = residual - self.fine[_nearest(residual, self.fine)]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [kmeans(residual[:, cut], min(256, len(x))) for cut in self.cuts]
