@@ -45,10 +45,12 @@ COARSE, FINE = 2048, 32
 SUBSPACES = 8
 #: Members and queries of one task step, at most.
 TILE, BLOCK = 4096, 4096
-#: Of the sample, vectors that are asked for pairs to fit the reach, and pairs in different lists that this takes.
-ASKED, PAIRS = 2048, 1000
-#: Share of them that the fitted reach covers, and the room that is added.
-COVERED, MARGIN = 0.998, 1.05
+#: A sample of fewer is not fitted to.
+ENOUGH = 2048
+#: Of the sample, vectors that are asked for pairs within the radius to fit the reach, and pairs that this takes.
+ASKED, PAIRS = 4096, 1000
+#: Share of them that the fitted reach covers, the room that is added, and the least part of the radius.
+COVERED, MARGIN, LEAST = 0.9995, 1.1, 0.1
 #: Room for rounding in single precision.
 SLACK = 1e-3
 
@@ -110,9 +112,9 @@ class Model:
         Measured on the sample's own pairs within the radius where there are
         enough.  Else, of its nearest neighbours, the parts of displacements that
         point to near centroids, at the full radius; the radius itself where the
-        sample is too small to tell.
+        sample is too small to tell, and lists are few.
         """
-        if len(x) < 64 or len(self.coarse) < 2:
+        if len(x) < ENOUGH or len(self.coarse) < 2:
             return self.radius
         crossed = []
         for at in range(0, min(len(x), ASKED), 256):
@@ -127,8 +129,8 @@ class Model:
                 far[a : a + 8192] = np.maximum(far[a : a + 8192], second)
             crossed.append(far)
         crossed = np.concatenate(crossed) if crossed else np.zeros(0)
-        if (crossed > 0).sum() >= PAIRS:
-            return float(min(self.radius, MARGIN * np.quantile(crossed[crossed > 0], COVERED)))
+        if len(crossed) >= PAIRS:
+            return float(np.clip(MARGIN * np.quantile(crossed, COVERED), LEAST * self.radius, self.radius))
         ask = x[:1024]
         near = ((x[:8192] ** 2).sum(axis=1)[None, :] - 2 * ask @ x[:8192].T).argpartition(8, axis=1)[:, :9]
         moves = x[near] - ask[:, None, :]
@@ -139,7 +141,7 @@ class Model:
         towards = self.coarse[others[:, 1:]] - self.coarse[others[:, :1]]
         towards /= np.maximum(np.sqrt((towards**2).sum(axis=2)), 1e-9)[:, :, None]
         parts = np.abs(np.einsum("qmd,qcd->qmc", moves, towards))[size > 1e-6]
-        return self.radius * float(min(1.0, np.quantile(parts, COVERED))) if parts.size >= PAIRS else self.radius
+        return self.radius * float(min(1.0, np.quantile(parts, 0.999))) if parts.size >= PAIRS else self.radius
 
     @property
     def lists(self) -> int:

@@ -53,7 +53,7 @@ def test_planted(spark, monkeypatch, tile):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
-def planted(rng, kind, n=1500, width=64):
+def planted(rng, kind, n=2400, width=64):
     """Vectors that lie in few dimensions of many, alone or around centres."""
     if kind == "isotropic":
         x = rng.normal(size=(n // 3, width))
